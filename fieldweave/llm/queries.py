@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import binary_output, near_dedup, packing
+from . import binary_output, lattice_lm, mixing, near_dedup, packing, quality_rules, toxicity
 from .oracles import SQL
 
 QUERIES = {
+    "op3_quality_rules": quality_rules.query,
     "op4_near_dedup": near_dedup.query,
     "op6_binary_output": binary_output.query,
+    "op7_lattice_lm": lattice_lm.query,
+    "op8_mixing": mixing.query,
+    "op9_toxicity": toxicity.query,
     "op10_best_fit_packing": packing.query,
 }
 
