@@ -23,7 +23,9 @@ from .common import Scratch, prefer, words_col
 BUCKETS = 1 << 18
 ENDING = 3
 #: Mean log ratio below which a document is rejected.
-THRESHOLD = -0.1
+THRESHOLD = -0.15
+#: Pseudo-counts of a bucket, in target counts.
+SMOOTH = 10.0
 #: Trusted documents of the target multinomial, at most (those with the smallest id hashes).
 TARGET_DOCS = 20_000
 LEAST_WORDS = 50
@@ -58,7 +60,8 @@ def ratio_table(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFra
     n_raw, n_target = dense.agg(F.sum("raw"), F.sum("target")).first()
     if not n_target:
         return dense.select("b", F.lit(0.0).alias("r"))
-    ratio = F.log((F.col("target") + 1) / F.lit(float(n_target + BUCKETS))) - F.log((F.col("raw") + 1) / F.lit(float(n_raw + BUCKETS)))
+    # Both are smoothed by as many target counts a bucket, so n-grams too rare to tell weigh nothing.
+    ratio = F.log((F.col("target") + SMOOTH) / (F.col("raw") * F.lit(n_target / n_raw) + SMOOTH))
     return dense.select("b", ratio.alias("r"))
 
 
