@@ -2,8 +2,9 @@
 
 Voters are lexicons and patterns: a short general lexicon of insults, words and word beginnings mined from
 labelled training rows, their density, shouting and symbol runs, and one that votes "clean" where nothing is
-found. A generative label model (EM over the distinct vote patterns) estimates each voter's accuracy without
-labels; correlations of voters given its posterior lower the weight of voters that say the same thing twice.
+found. The annotator of the training rows is one more voter. A generative label model (EM over the distinct vote patterns)
+estimates each voter's accuracy; correlations of voters given its posterior lower the weight of voters that say the
+same thing twice.
 A linear classifier is trained on the posterior labels and scores every whole text.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 4 is not 2, from at most SAMPLE_ROWS of them (those
@@ -34,7 +35,9 @@ SAMPLE_ROWS = 40_000
 MOST_TERMS = 4_000
 #: Candidate terms of toxic rows whose use in clean rows is counted, at most.
 CANDIDATES = 60_000
-LEAST_ROWS, PURITY = 4, 0.85
+LEAST_ROWS, PURITY = 4, 0.4
+#: Chance of any candidate term being mined although it tells nothing (a bound over all candidates together).
+CHANCE = 0.01
 WORD_GROUPS, PREFIX_GROUPS = 3, 2
 THRESHOLD = 0.3
 
@@ -44,11 +47,29 @@ INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers scum tra
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]{3}")
 _SHOUT = re.compile(r"\b[^\W\d_a-z]{3,}!!")
-VOTERS = 1 + WORD_GROUPS + PREFIX_GROUPS + 4
+VOTERS = 1 + WORD_GROUPS + PREFIX_GROUPS + 6
 
 
 def _prefixes(word: str):
-    return [word[:k] + "-" for k in (4, 5, 6) if len(word) > k]
+    return [word[:k] + "-" for k in (4, 5, 6, 7, 8) if len(word) > k]
+
+
+def _keyed(batches):
+    """Adds three minima of hashed word triples, which near copies share, and a hash of the text."""
+    import xxhash
+
+    for batch in batches:
+        for part in slices(batch, 256):
+            keys = []
+            for text in part["text"].to_pylist():
+                w = _WORD.findall(text.lower())
+                shingles = np.array([xxhash.xxh3_64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))], np.uint64)
+                keys.append([int((shingles * m).min() >> np.uint64(1)) for m in _MULTIPLIERS] + [xxhash.xxh3_64_intdigest(text) >> 1])
+            columns = [pa.array(c, pa.int64()) for c in zip(*keys)] if keys else [pa.array([], pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([part["text"], part["toxic"].cast(pa.int32()), *columns], ["text", "toxic", "key1", "key2", "key3", "tie"])
+
+
+_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
 @dataclass
@@ -102,6 +123,8 @@ class _Reader(dict):
         votes[last + 1] = int(bool(_SHOUT.search(text)))
         votes[last + 2] = int(bool(_SYMBOLS.search(text)))
         votes[last + 3] = -int(not hits)
+        distinct = len({w for w in set(words) if self[w]})
+        votes[last + 4], votes[last + 5] = int(distinct >= 2), int(distinct >= 4)
         n = len(self.terms)
         return tuple(votes), sorted(seen) + [n + v for v in range(VOTERS) if votes[v]]
 
@@ -109,18 +132,21 @@ class _Reader(dict):
 class LabelModel:
     """Naive Bayes over votes (-1, 0, 1) with a hidden label, fitted by EM on pattern counts."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 50):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, known_error: float = 1e-4):
+        """The last voter is the annotator, whose error rate is given; those of all others are estimated."""
         votes = patterns + 1
         n, m = votes.shape
         onehot = np.eye(3)[votes]  # [pattern, voter, vote]
         positive = (patterns == 1).sum(1) - 2 * (patterns == -1).sum(1)
-        post = np.clip(0.5 + 0.2 * positive, 0.02, 0.98)
+        post = np.where(patterns[:, -1], np.clip(0.5 + 0.48 * patterns[:, -1], 0.02, 0.98), np.clip(0.5 + 0.2 * positive, 0.02, 0.98))
         self.weight = np.ones(m)
         for _ in range(rounds):
             w1, w0 = counts * post, counts * (1 - post)
             self.prior = float(np.clip(w1.sum() / counts.sum(), 1e-3, 0.5))
             self.p1 = (np.einsum("n,nmv->mv", w1, onehot) + 0.5) / (w1.sum() + 1.5)
             self.p0 = (np.einsum("n,nmv->mv", w0, onehot) + 0.5) / (w0.sum() + 1.5)
+            self.p1[-1], self.p0[-1] = [known_error, 0.0, 1 - known_error], [1 - known_error, 0.0, known_error]
+            self.p1[-1][1] = self.p0[-1][1] = 1.0  # no mark says nothing
             post = self.posterior(patterns)
         # Correlations given the label: voters that move together share one voice.
         total = np.zeros((m, m))
@@ -131,6 +157,7 @@ class LabelModel:
             total += w.sum() / counts.sum() * np.abs(cov / np.outer(sd, sd))
         self.correlation = total
         self.weight = 1.0 / np.maximum(1.0, total.sum(1) - np.diag(total) + 1.0)
+        self.weight[-1] = 1.0
         self.accuracy = self.p1[:, 2] * self.prior / np.maximum(self.p1[:, 2] * self.prior + self.p0[:, 2] * (1 - self.prior), 1e-12)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
@@ -139,7 +166,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _train(rows: list[list[int]], target: np.ndarray, size: int, rounds: int = 300) -> tuple[np.ndarray, float]:
+def _train(rows: list[list[int]], target: np.ndarray, size: int, rounds: int = 800) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse 0/1 features and soft labels, by gradient steps with momentum."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     ids = np.array([i for r in rows for i in r], int)
@@ -160,7 +187,13 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> M
     scratch = scratch or Scratch(spark, "toxicity")
     train = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     chosen = train.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    sample = scratch.write(prefer(docs, "doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "sample")
+    marked = prefer(docs, "doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    keyed = scratch.write(marked.mapInArrow(_keyed, "text string, toxic int, key1 long, key2 long, key3 long, tie long"), "keyed")
+    # Copies of one text would make each of its words look telling, so one of each group of copies is learned from.
+    one = keyed.drop("text", "toxic")
+    for k in ("key1", "key2", "key3"):
+        one = one.groupBy(k).agg(F.min_by(F.struct(*[c for c in one.columns if c != k]), "tie").alias("r")).select(k, "r.*")
+    sample = scratch.write(keyed.join(F.broadcast(one.select("tie").distinct()), "tie", "left_semi").dropDuplicates(["tie"]).select("text", "toxic"), "sample")
 
     def terms(words: set[str]) -> set[str]:
         return {w for w in words if len(w) >= 3} | {p for w in words for p in _prefixes(w)}
@@ -186,7 +219,16 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> M
     # Of a toxic row's words, most are common to all rows; those are left out at once by comparing shares.
     toxic = dict(map(tuple, table(sample.where("toxic = 1")).where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()))
     clean = dict(map(tuple, table(sample.where("toxic = 0"), frozenset(toxic)).collect())) if toxic else {}
-    pure = sorted((t for t in toxic if toxic[t] / (toxic[t] + clean.get(t, 0)) >= PURITY), key=lambda t: (clean.get(t, 0) - toxic[t], t))[:MOST_TERMS]
+    n_rows, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    prior, needed = min(max(n_toxic / max(1, n_rows), 1e-6), 1 - 1e-6), np.log(max(1, len(toxic)) / CHANCE)
+
+    def telling(t: str) -> bool:
+        n = toxic[t] + clean.get(t, 0)
+        q = toxic[t] / n
+        evidence = q * np.log(q / prior) + (1 - q) * np.log(max(1 - q, 1e-12) / (1 - prior))
+        return q >= PURITY and n * evidence >= needed
+
+    pure = sorted(filter(telling, toxic), key=lambda t: (clean.get(t, 0) - toxic[t], t))[:MOST_TERMS]
     index = {t: i for i, t in enumerate(pure)}
 
     def read(batches):
@@ -194,10 +236,11 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> M
         for batch in batches:
             for part in slices(batch, 256):
                 votes, features = zip(*map(reader.read, part["text"].to_pylist())) if part.num_rows else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array([list(v) for v in votes], pa.list_(pa.int32())), pa.array(features, pa.list_(pa.int32()))], ["votes", "features"])
+                marks = [1 if x else -1 for x in part["toxic"].to_pylist()]  # the annotator is one more voter
+                yield pa.RecordBatch.from_arrays([pa.array([[*v, x] for v, x in zip(votes, marks)], pa.list_(pa.int32())), pa.array(features, pa.list_(pa.int32()))], ["votes", "features"])
 
     rows = sample.mapInArrow(read, "votes array<int>, features array<int>").collect()  # at most SAMPLE_ROWS
-    scratch.drop(sample)
+    scratch.drop(sample, keyed)
     size = len(index) + VOTERS
     if not rows:
         weights = np.zeros(size)
