@@ -2,7 +2,7 @@
 
 Tokens are words (A-Z lower-cased) and one end mark a text. A word is spelled by pieces of an existing subword
 vocabulary, its first piece carrying the word mark; characters without a piece are spelled by byte pieces; the
-end mark is a piece of its own. Piece scores start from the vocabulary's own order and are re-estimated once from
+end mark is a piece of its own. Piece scores start from the vocabulary's own order and are re-estimated twice from
 the expected counts (forward-backward) of all training words. A word seen in training is also an arc of its own
 that spans the whole lattice, with the mass that Good-Turing leaves to seen tokens. A forward recursion in log
 space sums all arcs, so token probabilities are a proper (sub-)distribution and a text's score is their sum.
@@ -37,6 +37,8 @@ LOCAL_WORDS = 300_000
 LONG = 48
 _PRIME = np.uint64(0x100000001B3)
 _SMOOTH = 0.05
+#: Re-estimations of the piece scores.
+ROUNDS = 2
 
 
 def words_of(text: str | None) -> list[str]:
@@ -229,20 +231,13 @@ def _buffered(batches, rows: int = 100_000):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def lattice_scores(docs: DataFrame, vocabulary: str, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per row of docs."""
-    spark = docs.sparkSession
-    scratch, texts = Scratch(spark, "lattice"), prefer(docs, "doc_id", "text")
-    counted = texts.mapInArrow(_count, "token string, c long, n long")
-    words = scratch.write(counted.groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
-    total, distinct, once = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1))).first()
-    names, start = load_pieces(vocabulary)
+def _reestimated(words: DataFrame, names: list[str], logp: list[float]) -> list[float]:
+    """Piece log probabilities from the expected counts of all training words."""
 
     def expect(batches):
-        lattice, expected = Lattice(names, start), np.zeros(len(names))
+        lattice, expected = Lattice(names, logp), np.zeros(len(names))
         for b in _buffered(batches):
-            c = b["c"].to_numpy(zero_copy_only=False).astype(float)
-            lattice.forward(b["token"].to_pylist(), c, expected)
+            lattice.forward(b["token"].to_pylist(), b["c"].to_numpy(zero_copy_only=False).astype(float), expected)
         at = np.flatnonzero(expected)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(expected[at])], ["piece", "x"])
@@ -251,7 +246,21 @@ def lattice_scores(docs: DataFrame, vocabulary: str, frequent: int = FREQUENT) -
     seen = words.where("c > 0").select("token", "c").mapInArrow(expect, "piece int, x double").groupBy("piece").agg(F.sum("x"))
     for piece, x in seen.collect():  # at most one row a piece
         found[piece] += x
-    logp = np.log(found / found.sum()).tolist() if total else start
+    return np.log(found / found.sum()).tolist()
+
+
+def lattice_scores(docs: DataFrame, vocabulary: str, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per row of docs."""
+    spark = docs.sparkSession
+    scratch, texts = Scratch(spark, "lattice"), prefer(docs, "doc_id", "text")
+    counted = texts.mapInArrow(_count, "token string, c long, n long")
+    words = scratch.write(counted.groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
+    total, distinct, once = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1))).first()
+    names, start = load_pieces(vocabulary)
+
+    logp = start
+    for _ in range(ROUNDS if total else 0):
+        logp = _reestimated(words, names, logp)
     own = 1 - once / total if total else 0.0  # mass of whole-token arcs
     own = min(own, 0.999)
 
