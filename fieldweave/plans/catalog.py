@@ -422,3 +422,45 @@ def _stream_modes(s, d):
 def _lstm(s, d):
     series = samples.events(s, d).select(F.col("x").alias("k"), "t", (F.col("val") / 1000).alias("val"))
     return emulation.forecast(series.where("t < 576"), series.where("t >= 576"), 12, 1, epochs=3)
+
+
+# --- more data products ----------------------------------------------------------------------------------------
+
+_register("compare_series", f"{_events()} SELECT a.t, {_r('a.val')} AS a, {_r('b.val')} AS b FROM field a JOIN field b ON a.t = b.t WHERE a.x = 0 AND b.x = 1")(
+    lambda s, d: _out(lookup.compare_series(samples.events(s, d).where("x = 0"), samples.events(s, d).where("x = 1")))
+)
+_G2 = f"{_events(1, True)}{_tapered(STD)}{_qhat(STD)}, w AS (SELECT v, 1 / var_pop(val) AS w FROM field GROUP BY v)"
+_register(
+    "gram_weighted_2v",
+    f"{_G2} SELECT a.f, a.b AS b1, c.b AS b2, {_r('sum((a.re * c.re + a.im * c.im) * w) / 21')} AS re, {_r('sum((a.re * c.im - a.im * c.re) * w) / 21')} AS im FROM qhat a JOIN qhat c ON a.f = c.f AND a.x = c.x AND a.v = c.v AND a.b <= c.b JOIN w ON w.v = a.v GROUP BY 1, 2, 3",
+)(lambda s, d: (lambda f: _out(modal.gram(blocks.spectra(f, STD, HOURS), weights.normalized(weights.uniform(s, 5, 2), f), 21)))(samples.events(s, d, two=True)))
+
+
+@_register("mode_slice")
+def _slice(s, d):
+    return _out(lookup.mode_slice(modal.fix_phase(_two(s, d)[4].where(f"f = {BIN} AND m = 0")), BIN, 0), 5)
+
+
+@_register("spectrum_report")
+def _report(s, d):
+    return lookup.report(_trace_series(s, d))
+
+
+@_register("npy_source")
+def _npy(s, d):
+    """A field written as .npy and read back through the data source."""
+    import tempfile
+
+    from ..sources import arrays
+
+    path = tempfile.mkdtemp() + "/field.npy"
+    arrays.save_npy(samples.events(s, d, hours=6), path, (120, 5, 1))
+    return arrays.read_data(s, path)
+
+
+@_register("dft_table_function", "SELECT f::INTEGER AS f, round(sum(v * cos(2 * pi() * f * n / 4)), 6) + 0.0 AS re, round(-sum(v * sin(2 * pi() * f * n / 4)), 6) + 0.0 AS im FROM (VALUES (0, 1.0), (1, 2.0), (2, 4.0), (3, 8.0)) q(n, v) CROSS JOIN range(4) r(f) GROUP BY f")
+def _table_function(s, d):
+    from ..functions.expressions import register
+
+    register(s)
+    return _out(s.sql("SELECT * FROM dft(array(1D, 2D, 4D, 8D))"))
