@@ -30,6 +30,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 SUPPORT, CONFIDENCE = 0.002, 0.9
+#: Labelled urls that a rule needs at least, whatever the share.
+LEAST_URLS = 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,14 +66,15 @@ def tokens(host, path):
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(placed, words, first, second, ending)))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[tuple[str, ...], str, float, float]]:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST_URLS) -> list[tuple[tuple[str, ...], str, float, float]]:
     """(tokens, verdict, confidence, support) of pruned rules, from rows (items, given)."""
     from pyspark.ml.fpm import FPGrowth
 
     rows = labelled.select(F.array_append("items", F.concat(F.lit("verdict="), F.col("given"))).alias("items"))
-    if rows.isEmpty():
+    n = rows.count()
+    if n < least:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
+    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence).fit(rows)
     found = model.associationRules.where(F.element_at("consequent", 1).startswith("verdict=")).select("antecedent", F.element_at("consequent", 1), "confidence", "support").collect()
     rules: list[tuple[tuple[str, ...], str, float, float]] = []
     shorter: dict[str, list[frozenset]] = {}

@@ -325,7 +325,7 @@ def test_url_rules_by_counting(spark):
     df = spark.createDataFrame(rows, "url string, given string")
     host, path = url_filter.split_url(F.col("url"))
     df = df.select("given", host.alias("host"), path.alias("path")).withColumn("items", url_filter.tokens(F.col("host"), F.col("path"))).persist()
-    mined = url_filter.mine(df.where("given is not null"), 0.1, 0.9)
+    mined = url_filter.mine(df.where("given is not null"), 0.1, 0.9, least=1)
     every = brute_mine([(r["items"], r.given) for r in df.collect()], 0.1, 0.9)
     assert {(m[0], m[1]) for m in mined} <= every
     for items, verdict in every:  # each counted rule follows from a mined one
