@@ -3,10 +3,11 @@
 1. A scan turns each whole text into its set of distinct word shingles (64-bit hashes) and keeps a 128-bit key
    of the set, 40 band keys of 5 universal-hash minima each, and one byte of each of the 200 minima (the sketch).
 2. Equal sets form one class; only classes go on. Their members never meet.
-3. In each band bucket the classes are tied to the smallest one (a star, never all pairs); each class confirms
-   its best such tie on full sets, and large-star/small-star gives components.
-4. Buckets that still span several components are compared in blocks of bounded size, by sketch and then on full
-   sets, and components are joined again. So every candidate pair of different components is looked at.
+3. In the buckets of the first bands the classes are tied to the smallest one (a star, never all pairs); each class
+   confirms its best such tie on full sets, and large-star/small-star gives components.
+4. In all bands, buckets that still span several components are compared in blocks of bounded size: classes outside the
+   bucket's largest component meet everyone, by sketch and then on full sets, and components are joined again. So
+   every candidate pair of different components is looked at.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^40 < 2e-7, and its sketch falls below the
 cut with less than 1e-7; pairs above are safer still.
@@ -27,6 +28,8 @@ from .common import Scratch, mix64, prefer, slices
 from .components import connected_components
 
 BANDS, ROWS = 40, 5
+#: Bands of the first links; all bands follow for what these leave apart.
+FIRST_BANDS = 8
 #: Agreeing sketch bytes of BANDS * ROWS that let a pair on to the full sets; 160 are expected at 0.8.
 SKETCH_MIN = 128
 #: Most members of a bucket that are compared in one piece.
@@ -184,20 +187,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         scratch.drop(full, pairs)
         return out
 
-    members = classes.select("kid", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("kid").alias("u"), F.max("kid").alias("top")).where("u <> top").select("band", "u")
-    shared = scratch.write(members.join(buckets, "band"), "buckets")
-    stars = shared.where("kid <> u").select("u", F.col("kid").alias("v")).distinct()
-    near = stars.join(sketches.select(F.col("kid").alias("u"), F.col("sketch").alias("su")), "u").join(sketches.select(F.col("kid").alias("v"), F.col("sketch").alias("sv")), "v")
-    best = near.select("u", "v", "su", "sv").mapInArrow(_by_sketch, "u long, v long, same int").groupBy("v").agg(F.max_by("u", "same").alias("u"))
-    first = confirmed(best.select("u", "v"))
-    comp1 = scratch.write(connected_components(first, scratch), "components")
-
-    placed = shared.select("band", "kid").join(comp1, shared.kid == comp1.node, "left").select("band", "kid", F.coalesce("component", "kid").alias("comp"))
-    open_ = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n")
-    rest = placed.join(open_, "band").join(sketches, "kid")
-    blocks = rest.withColumn("nb", F.ceil(F.col("n") / BLOCK)).withColumn("blk", F.pmod(F.xxhash64("kid", "band"), F.col("nb")))
-    cells = blocks.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).select("band", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), F.struct("kid", "comp", "blk", "sketch").alias("m"))
+    # First links: within the first few bands each class is tied to the smallest class that it shares most of them with.
+    few = classes.select("kid", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("band"))
+    buckets = few.groupBy("band").agg(F.min("kid").alias("u"), F.max("kid").alias("top")).where("u <> top").select("band", "u")
+    stars = few.join(buckets, "band").where("kid <> u").groupBy("u", F.col("kid").alias("v")).count()
+    best = stars.groupBy("v").agg(F.max_by("u", F.struct("count", "u")).alias("u"))
+    near = best.join(sketches.select(F.col("kid").alias("u"), F.col("sketch").alias("su")), "u").join(sketches.select(F.col("kid").alias("v"), F.col("sketch").alias("sv")), "v")
+    first = confirmed(near.select("u", "v", "su", "sv").mapInArrow(_by_sketch, "u long, v long, same int").select("u", "v"))
+    comp1 = connected_components(first, scratch)
+
+    # Then all bands: in a bucket of several components, those outside the largest meet everyone, in blocks.
+    placed = scratch.write(classes.join(comp1, classes.kid == comp1.node, "left").select("kid", F.coalesce("component", "kid").alias("comp"), "bands"), "placed")
+    members = placed.select("kid", "comp", F.explode("bands").alias("band"))
+    sizes = members.groupBy("band", "comp").count().groupBy("band").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("base"), F.max("count").alias("n_base"), F.sum("count").alias("n"))
+    open_ = sizes.where("comps > 1").select("band", "base", F.ceil(F.col("n_base") / BLOCK).alias("nb"), F.ceil((F.col("n") - F.col("n_base")) / BLOCK).alias("no"))
+    rest = members.join(open_, "band").join(sketches, "kid").withColumn("main", F.col("comp") == F.col("base"))
+    place = F.xxhash64("kid", "band")
+    blocks = rest.withColumn("blk", F.when(F.col("main"), F.pmod(place, F.col("nb"))).otherwise(F.col("nb") + F.pmod(place, F.col("no"))))
+    partners = F.sequence(F.when(F.col("main"), F.col("nb")).otherwise(F.lit(0).cast("long")), F.col("nb") + F.col("no") - 1)
+    cells = blocks.withColumn("o", F.explode(partners)).select("band", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), F.struct("kid", "comp", "blk", "sketch").alias("m"))
     grouped = cells.groupBy("band", "i", "j").agg(F.collect_list("m").alias("cell")).select("i", "j", "cell")
     second = confirmed(grouped.mapInArrow(_in_blocks, "u long, v long").distinct())
     links = first.union(second)
