@@ -61,7 +61,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def words_col(text):
     """Words of a text column as an array (null text: none), inside the JVM."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT, -1), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT, -1), "")
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -41,12 +41,17 @@ def _shifted(a, by: int, n: int):
 
 
 def _with_buckets(df: DataFrame) -> DataFrame:
-    """g: bucket numbers of all n-grams of the words in `w`, endings first, then pairs.
+    """g: hashes of all n-grams of the words in `w`, endings first, then pairs.
 
     Lambdas see only their own arguments: an outer column inside one would be computed anew for every element."""
-    df = df.withColumn("e", F.transform("w", lambda x: F.xxhash64(F.right(x, F.lit(ENDING)))))
-    pairs = F.zip_with(_shifted(F.col("e"), 0, 2), _shifted(F.col("e"), 1, 2), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))
-    return df.withColumn("g", F.concat(F.transform("e", lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")), pairs))
+    df = df.withColumn("e", F.transform("w", lambda x: F.xxhash64(F.substring(x, -ENDING, ENDING))))
+    pairs = F.zip_with(_shifted(F.col("e"), 0, 2), _shifted(F.col("e"), 1, 2), lambda a, b: F.xxhash64(a, b))
+    return df.withColumn("g", F.concat(F.col("e"), pairs))
+
+
+#: The bucket of an n-gram's hash; outside the lambdas, where it is compiled code.
+def _bucket(g):
+    return F.pmod(g, F.lit(BUCKETS)).cast("int")
 
 
 def ratio_table(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
@@ -54,7 +59,7 @@ def ratio_table(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFra
     spark = docs.sparkSession
     trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS)
     marked = prefer(docs, "doc_id", "text").join(F.broadcast(trusted.withColumn("t", F.lit(1))), "doc_id", "left")
-    grams = _with_buckets(_with_words(marked)).select("t", F.explode("g").alias("b"))
+    grams = _with_buckets(_with_words(marked)).select("t", F.explode("g").alias("h")).select("t", _bucket(F.col("h")).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("t").alias("target"))
     dense = scratch.write(spark.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")), "counts")
     n_raw, n_target = dense.agg(F.sum("raw"), F.sum("target")).first()
@@ -68,9 +73,9 @@ def ratio_table(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFra
 def _base(df: DataFrame) -> DataFrame:
     """The base rules' counts, from `text` and its words `w`."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
-    df = df.withColumns({"n_words": F.size("w").cast("long"), "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"), "lines": lines, "h": F.transform("w", lambda x: F.xxhash64(x))})
-    df = df.withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    df = df.withColumns({"n_words": F.size("w").cast("long"), "word_chars": F.length(F.array_join("w", "")).cast("long"), "lines": lines, "h": F.transform("w", lambda x: F.xxhash64(x))})
+    df = df.withColumn("n_symbols", (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long"))
     df = df.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     h = F.col("h")
     pairs = F.zip_with(_shifted(h, 0, 3), _shifted(h, 1, 3), lambda a, b: F.xxhash64(a, b))
@@ -90,7 +95,7 @@ def _judged(docs: DataFrame, ratios: DataFrame) -> DataFrame:
     The ratios of a text's n-grams come by a hash join with the fixed-size table; they are summed before the shuffle."""
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     df = _base(_with_buckets(_with_words(docs))).withColumn("key", F.xxhash64("doc_id", "text")).withColumn("rid", F.monotonically_increasing_id())
-    grams = df.select("rid", "key", "doc_id", *counts, F.explode_outer("g").alias("b"))
+    grams = df.select("rid", "key", "doc_id", *counts, F.explode_outer("g").alias("h")).withColumn("b", _bucket(F.col("h")))
     summed = grams.join(F.broadcast(ratios), "b", "left").groupBy("rid", "key", "doc_id", *counts).agg(F.sum("r").alias("r"), F.count("b").alias("n"))
     out = summed.withColumn("llr", F.coalesce(F.col("r"), F.lit(0.0)) / F.greatest("n", F.lit(1)))
     out = out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
