@@ -7,21 +7,21 @@ distinct unit is encoded once, and ids are joined. Ids equal `Tokenizer.encode(t
 from __future__ import annotations
 
 import re
-from struct import pack
 
 import numpy as np
 
 #: Most units a worker keeps; beyond it the cache starts afresh, which bounds memory and changes no result.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 800_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Units of these characters alone are cut by the rules below; all others go through the whole tokenizer.
-_PLAIN = re.compile(f" ?[{_LETTERS}!-&(-~]+(?:\n[{_LETTERS}!-&(-~]+)*")
+#: Units without such characters (a space in front aside) are cut by the rules below; all others go through the whole tokenizer.
+_NOT_PLAIN = re.compile(f"[^{_LETTERS}!-&(-~]")
 _PIECES = {
     "byte": re.compile(f" ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s"),
     "word": re.compile(f"[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+"),
 }
-_ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
+#: Where none of these occurs, spaces and newlines are the only white space and stand alone.
+_ODD_SPACES = ("  ", "\n\n", " \n", "\n ", "\0", *[chr(c) for c in range(0x10000) if chr(c).isspace() and chr(c) not in " \n"])
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -60,21 +60,31 @@ class UnitEncoder:
 
         self.kind, self.tokenizer = kind, Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
+        self.spelled = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.find = _PIECES[kind].findall
         self.cache, self.pieces = _Units(self._unit), _Units(self._piece)
 
     def split(self, text: str) -> list[str]:
         if self.kind == "word":
             return text.replace("\n", " ").split(" ")
-        parts = _SINGLE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        return parts[:1] + [" " + p for p in parts[1:]]
+        if text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, _ODD_SPACES)):
+            parts = _SINGLE_SPACE.split(text)
+            return parts[:1] + [" " + p for p in parts[1:]]
+        # White space stands alone everywhere: a space joins what follows, a newline is a unit of its own.
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
     def _piece(self, piece: str) -> bytes:
-        found = self.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))
-        return pack(f"<{len(found)}I", *[t.id for t in found])
+        if piece.isascii():  # of these, only white space has a stand-in
+            found = self.tokenize(piece.replace(" ", "Ġ").replace("\n", "Ċ"))
+        else:
+            found = self.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))
+        spelled = self.spelled
+        return b"".join([spelled[t.id] for t in found])
 
     def _unit(self, unit: str) -> bytes:
-        if not _PLAIN.fullmatch(unit) or "<|" in unit:
+        if not unit:
+            return b""
+        if _NOT_PLAIN.search(unit, unit[0] == " ") or "<|" in unit:
             return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
         found = self.find(unit if self.kind == "byte" else unit.lower())
         pieces = self.pieces
