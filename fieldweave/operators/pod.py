@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,27 @@ def gram(field: DataFrame, weights: DataFrame) -> DataFrame:
     return a.join(b, ["x", "v"]).where("t1 <= t2").groupBy("t1", "t2").agg(F.sum(F.col("d1") * F.col("d2") * F.col("w")).alias("g"))
 
 
+def gram_chunks(field: DataFrame, weights: DataFrame, side: int = 512) -> DataFrame:
+    """gram() for many snapshots: `side` ids at a time form a chunk, and pairs of chunks are multiplied as matrices, so the
+    only rows made for a pair of snapshots are its own in the result (which has half the square of their number)."""
+    cells = F.array_sort(F.collect_list(F.struct("x", "v", (F.col("d") * F.sqrt("w")).alias("d"))))
+    vectors = centred(field).join(weights, ["x", "v"]).groupBy("t").agg(F.transform(cells, lambda c: c["d"]).alias("d"))
+    chunks = vectors.groupBy(F.floor(F.col("t") / side).alias("c")).agg(F.collect_list("t").alias("t"), F.flatten(F.collect_list("d")).alias("d"))
+    a, b = (chunks.select(*[F.col(k).alias(k + n) for k in ("c", "t", "d")]) for n in "12")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (t1, d1), (t2, d2) = ((batch["t" + n][i].values.to_numpy(), batch["d" + n][i].values.to_numpy()) for n in "12")
+                if len(d1) * len(t2) != len(d2) * len(t1):
+                    raise ValueError("snapshots differ in their number of cells")
+                g = d1.reshape(len(t1), -1) @ d2.reshape(len(t2), -1).T
+                j, k = np.nonzero(t1[:, None] <= t2[None, :])
+                yield pa.RecordBatch.from_arrays([pa.array(t1[j]), pa.array(t2[k]), pa.array(g[j, k])], ["t1", "t2", "g"])
+
+    return a.join(b, F.col("c1") <= F.col("c2")).mapInArrow(run, "t1 long, t2 long, g double")
+
+
 def spatial_gram(field: DataFrame, weights: DataFrame) -> DataFrame:
     """(i, j, g) for i <= j over cells i = (x, v): the dual matrix with sqrt(w) on both sides."""
     d = centred(field).join(weights, ["x", "v"]).select("t", F.struct("x", "v").alias("c"), (F.col("d") * F.sqrt("w")).alias("d"))
@@ -47,13 +69,14 @@ def decompose(field: DataFrame, weights: DataFrame, n_modes: int, nt: int, n_cel
 
     if nt <= n_cells:
         rows = gram(field, weights).collect()
-        m = _symmetric(rows, list(range(nt)))
+        times = np.array(sorted({r.t1 for r in rows}), np.int64)
+        m = _symmetric(rows, times.tolist())
         lam, vec = np.linalg.eigh(m)
         lam, vec = lam[::-1][:n_modes], vec[:, ::-1][:, :n_modes]
         good = lam > 1e-12 * max(lam[0], 1e-300)
         lam, vec = lam[good], vec[:, good]
         t, k = np.indices(vec.shape).reshape(2, -1)
-        table = spark.createDataFrame(pd.DataFrame({"t": t.astype(np.int64), "m": k.astype(np.int32), "c": vec[t, k] / np.sqrt(lam[k])}), "t long, m int, c double")
+        table = spark.createDataFrame(pd.DataFrame({"t": times[t], "m": k.astype(np.int32), "c": vec[t, k] / np.sqrt(lam[k])}), "t long, m int, c double")
         phi = centred(field).join(table, "t").groupBy("m", "x", "v").agg(F.sum(F.col("d") * F.col("c")).alias("phi"))
     else:
         rows = [((i.x, i.v), (j.x, j.v), g) for i, j, g in spatial_gram(field, weights).collect()]

@@ -356,6 +356,19 @@ _register("pod_eigs_two_snapshot", f"{_P2} SELECT 0 AS m, {_r('lam')} AS lam FRO
 _register("pod_coeffs", f"{_P2} SELECT 0 AS m, t::BIGINT AS t, {_r('sqrt(lam / 2)')} AS a FROM g CROSS JOIN range(2) r(t)")(lambda s, d: (lambda z: _out(pod.coefficients(z[0], z[2]).withColumn("a", F.abs("a"))))(_pod2(s, d)))
 _register("pod_reconstruct", f"{_embedded(2)} {_FIELD}")(lambda s, d: (lambda z: _out(pod.reconstruct(pod.coefficients(z[0], z[2]), z[2], reductions.longtime_mean(z[0]))))(_pod2(s, d)))
 
+
+def _pod_all(s, d):
+    """The field of all vectors, with all its eigenvalues and modes."""
+    f = samples.embeddings(s, d)
+    return f, *pod.decompose(f, weights.uniform(s, 64), 64, f.select("t").distinct().count(), 64)
+
+
+_PGA = f"{_embedded()}{_MU}, d AS (SELECT t, x, val - mu AS d FROM field JOIN mu USING (x, v))"
+_register("pod_gram_all", f"{_PGA} SELECT a.t AS t1, b.t AS t2, {_r('sum(a.d * b.d)')} AS g FROM d a JOIN d b ON a.x = b.x AND a.t <= b.t GROUP BY 1, 2")(lambda s, d: _out(pod.gram_chunks(samples.embeddings(s, d), weights.uniform(s, 64))))
+_register("pod_eigs_all")(lambda s, d: _out(_pod_all(s, d)[1]))
+_register("pod_coeffs_all")(lambda s, d: (lambda z: _out(pod.coefficients(z[0], F.broadcast(z[2])).withColumn("a", F.abs("a"))))(_pod_all(s, d)))
+_register("pod_reconstruct_all", f"{_embedded()} {_FIELD}")(lambda s, d: (lambda z: _out(pod.reconstruct(pod.coefficients(z[0], F.broadcast(z[2])), F.broadcast(z[2]), reductions.longtime_mean(z[0]))))(_pod_all(s, d)))
+
 # --- lookups ---------------------------------------------------------------------------------------------------
 
 _AX = "WITH ax AS (SELECT f::INTEGER AS f, f / 64.0 AS freq FROM range(33) r(f))"
