@@ -5,8 +5,8 @@ into a fixed number of buckets; unlike whole words, endings do not grow without
 multinomial counts every document, the target multinomial the trusted ones. A document's verdict compares its
 mean log ratio with a fixed threshold.
 
-Counts reach the shuffle pre-aggregated by bucket; the table of ratios has BUCKETS entries whatever the input, and a
-text is scored inside its own row, so no shuffle carries texts or groups by document.
+Texts are shuffled once, to meet their labels by doc_id. Counts reach the shuffle pre-aggregated by bucket; the table of
+ratios has BUCKETS entries whatever the input, and a text is scored inside its own row.
 
 Cases: null text has no words, fails the base rules and is not kept; a text without n-grams scores 0; repeated
 rows count and are judged as often as they come; without labels the ratio is 0 everywhere; an empty table gives no
@@ -26,8 +26,6 @@ ENDING = 3
 THRESHOLD = -0.15
 #: Pseudo-counts of a bucket, in target counts.
 SMOOTH = 10.0
-#: Trusted documents of the target multinomial, at most (those with the smallest id hashes).
-TARGET_DOCS = 20_000
 LEAST_WORDS = 50
 
 
@@ -57,9 +55,10 @@ def _bucket(g):
 def ratio_table(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """b, r: the log ratio of smoothed target and raw probabilities of each of the BUCKETS buckets."""
     spark = docs.sparkSession
-    trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS)
-    marked = prefer(docs, "doc_id", "text").join(F.broadcast(trusted.withColumn("t", F.lit(1))), "doc_id", "left")
-    grams = _with_buckets(_with_words(marked)).select("t", F.explode("g").alias("h")).select("t", _bucket(F.col("h")).alias("b"))
+    trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    marked = prefer(docs, "doc_id", "text").join(trusted.withColumn("t", F.lit(1)).hint("shuffle_hash"), "doc_id", "left")
+    # explode_outer: for explode, a filter on g would be inferred and computed in front of the shuffle as well. Bucket null is left out below.
+    grams = _with_buckets(_with_words(marked)).select("t", F.explode_outer("g").alias("h")).select("t", _bucket(F.col("h")).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("t").alias("target"))
     dense = scratch.write(spark.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")), "counts")
     n_raw, n_target = dense.agg(F.sum("raw"), F.sum("target")).first()
