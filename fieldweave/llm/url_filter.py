@@ -15,6 +15,9 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+from itertools import combinations, product
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,35 +57,89 @@ def explicit(df: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumn("m", out).select("*", "m.rule", "m.given").drop("m")
 
 
-def tokens(host, path):
-    """Distinct tokens of a url: host labels by their place from the right, the first path part, and the last one's ending."""
+def query_of(url):
+    """The query string of a url column: what lies between the first `?` and `#`."""
+    known = F.coalesce(url, F.lit(""))
+    return F.when(F.instr(known, "://") > 0, F.regexp_extract(known, r"^[^?#]*\?([^#]*)", 1)).otherwise("")
+
+
+def _named(name: str, a):
+    return F.transform(F.filter(a, lambda x: x != ""), lambda x: F.concat(F.lit(name + "="), x))
+
+
+def tokens(host, path, query=None):
+    """Distinct tokens of a url: every host label by its place from the right and by word; the first path part (p), the
+    first character of the second (q), every part of several words (d) and every word of the path in lower case (t); the
+    path's ending (x) and the keys of the query (k). The support threshold drops the rare ones."""
     labels = F.reverse(F.split(host, r"\.", -1))
-    placed = F.transform(F.slice(labels, 1, 4), lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit("="), x))
-    words = F.transform(F.filter(F.split(host, r"[.\-]", -1), lambda x: F.length(x) > 3), lambda x: F.concat(F.lit("w="), x))
+    placed = F.transform(labels, lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit("="), x))
     parts = F.filter(F.split(path, "/", -1), lambda x: x != "")
-    first = F.transform(F.slice(parts, 1, 1), lambda x: F.concat(F.lit("p="), x))
-    second = F.transform(F.slice(parts, 2, 1), lambda x: F.concat(F.lit("q="), F.substring(x, 1, 1)))
-    ending = F.transform(F.filter(F.array(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)), lambda x: x != ""), lambda x: F.concat(F.lit("x="), x))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(placed, words, first, second, ending)))
+    found = [
+        placed,
+        _named("w", F.split(host, r"[.\-]", -1)),
+        _named("p", F.slice(parts, 1, 1)),
+        _named("q", F.transform(F.slice(parts, 2, 1), lambda x: F.substring(x, 1, 1))),
+        _named("d", F.filter(parts, lambda x: x.rlike(r"[^\p{L}\p{N}]"))),
+        _named("t", F.split(F.translate(path, _UPPER, _LOWER), r"[^\p{L}\p{N}]+", -1)),
+        _named("x", F.array(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1))),
+    ]
+    if query is not None:
+        found.append(_named("k", F.transform(F.split(query, "[&;]", -1), lambda x: F.regexp_extract(x, "^[^=]*", 0))))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(*found)))
+
+
+def _alike(labelled: DataFrame, least: int) -> dict[str, list[str]]:
+    """Tokens of `least` urls or more by the first of those that occur in exactly the same urls (by two 64-bit hashes)."""
+    rows = labelled.select(F.monotonically_increasing_id().alias("rid"), F.explode(F.array_distinct("items")).alias("token"))
+    seen = rows.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("a"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("b")).where(F.col("n") >= least)
+    groups: dict[tuple, list[str]] = {}
+    for r in sorted(seen.collect()):
+        groups.setdefault((r.n, r.a, r.b), []).append(r.token)
+    return {g[0]: g for g in groups.values()}
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST_URLS) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """(tokens, verdict, confidence, support) of pruned rules, from rows (items, given)."""
+    """(tokens, verdict, confidence, support) of pruned rules, from rows (items, given).
+
+    Of tokens that occur in the same urls one stands for all while combinations are mined, as k of them would make 2^k
+    combinations; each rule is then given with every choice among them."""
     from pyspark.ml.fpm import FPGrowth
 
-    rows = labelled.select(F.array_append("items", F.concat(F.lit("verdict="), F.col("given"))).alias("items"))
-    n = rows.count()
+    n = labelled.count()
     if n < least:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence).fit(rows)
-    found = model.associationRules.where(F.element_at("consequent", 1).startswith("verdict=")).select("antecedent", F.element_at("consequent", 1), "confidence", "support").collect()
+    share = max(support, least / n)
+    groups = _alike(labelled, math.ceil(share * n))
+    first = {t: f for f, g in groups.items() for t in g}
+
+    def run(batches):
+        for batch in batches:
+            kept = [sorted({first[t] for t in items if t in first}) + ["verdict=" + g] for items, g in zip(batch["items"].to_pylist(), batch["given"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.string()))], ["items"])
+
+    rows = labelled.select("items", "given").mapInArrow(run, "items array<string>")
+    scratch = Scratch(labelled.sparkSession, "mined")
+    sets = scratch.write(FPGrowth(itemsCol="items", minSupport=share).fit(rows).freqItemsets, "sets")
+    # Only rules for a verdict are made, and only those that no rule with one token less makes needless reach the driver.
+    named = sets.withColumn("a", F.array_sort(F.filter("items", lambda x: ~x.startswith("verdict=")))).where(F.size("a") > 0)
+    whole = named.where(F.size("a") == F.size("items")).select("a", F.col("freq").alias("all"))
+    judged = named.where(F.size("a") < F.size("items")).select("a", F.filter("items", lambda x: x.startswith("verdict="))[0].alias("v"), "freq")
+    made = judged.join(whole, "a").withColumn("c", F.col("freq") / F.col("all")).where(F.col("c") >= confidence)
+    made = scratch.write(made.select("a", "v", "c", (F.col("freq") / F.lit(n)).alias("s")), "rules")
+    less = made.select("*", F.explode_outer(F.transform("a", lambda x: F.array_remove(F.col("a"), x))).alias("b"))
+    needless = less.join(made.select(F.col("a").alias("b"), "v"), ["b", "v"], "left_semi").select("a", "v").distinct()
+    found = made.join(needless, ["a", "v"], "left_anti").select("a", "v", "c", "s").collect()
+    scratch.drop(sets, made)
     rules: list[tuple[tuple[str, ...], str, float, float]] = []
-    shorter: dict[str, list[frozenset]] = {}
+    shorter: dict[str, set[frozenset]] = {}
+    sizes: dict[str, set[int]] = {}
     for items, verdict, c, s in sorted(((tuple(sorted(a)), v[8:], c, s) for a, v, c, s in found), key=lambda r: (len(r[0]), -r[2], r[0], r[1])):
-        if any(x.startswith("verdict=") for x in items) or any(x <= frozenset(items) for x in shorter.get(verdict, [])):
+        known = shorter.setdefault(verdict, set())
+        if any(x.startswith("verdict=") for x in items) or any(frozenset(x) in known for k in sizes.setdefault(verdict, set()) for x in combinations(items, k)):
             continue
-        shorter.setdefault(verdict, []).append(frozenset(items))
-        rules.append((items, verdict, c, s))
+        known.add(frozenset(items))
+        sizes[verdict].add(len(items))
+        rules += [(tuple(sorted(chosen)), verdict, c, s) for chosen in product(*(groups[t] for t in items))]
     return rules
 
 
@@ -108,8 +165,8 @@ def url_verdicts(pages: DataFrame, rules=RULES, support: float = SUPPORT, confid
     """page_id, host, path, rule, verdict, one row per row of pages."""
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = split_url(F.col("url"))
-    read = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
-    parsed = scratch.write(explicit(read, rules).withColumn("items", tokens(F.col("host"), F.col("path"))), "urls")
+    read = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"), query_of(F.col("url")).alias("query"))
+    parsed = scratch.write(explicit(read, rules).withColumn("items", tokens(F.col("host"), F.col("path"), F.col("query"))).drop("query"), "urls")
     index = RuleIndex(mine(parsed.where("given is not null"), support, confidence))
 
     def run(batches):

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from fieldweave.llm import quality_rules
+from fieldweave.llm import quality_rules, url_filter
 
 
 def test_every_trusted_document_counts(spark):
@@ -18,3 +18,21 @@ def test_every_trusted_document_counts(spark):
     for good, target in ((True, n), (False, 0)):
         r = math.log((target + s) / (n / 2 + s))
         assert got[good].n == n and got[good].lo == pytest.approx(r, abs=1e-9) and got[good].hi == pytest.approx(r, abs=1e-9)
+
+
+def test_evidence_anywhere_in_a_url(spark):
+    cases = [
+        ("http://s%d.net/a/b/casino/", "http://s%d.net/a/b/garden/"),
+        ("http://s%d.net/en/cheap-pills", "http://s%d.net/en/careers"),
+        ("http://s%d.net/n%d?aff=1", "http://s%d.net/n%d?page=1"),
+        ("http://ads.x.y.z.s%d.net/", "http://dev.x.y.z.s%d.net/"),
+        ("http://s%d.net/x/Y/z/win-big-now", "http://s%d.net/x/Y/z/read-me-now"),
+    ]
+    for bad, good in cases:
+        # Rules judge hosts in .bad and .good; the same evidence lies in .net urls, which no explicit rule judges.
+        rules = (("block", "bad", "/"), ("allow", "good", "/"))
+        at = lambda u, k: u % ((k,) * u.count("%d"))
+        urls = [at(bad, k).replace(".net", ".bad") for k in range(40)] + [at(good, k).replace(".net", ".good") for k in range(40)] + [at(bad, 999), at(good, 999)]
+        df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        got = {r.page_id: r.verdict for r in url_filter.url_verdicts(df, rules).collect()}
+        assert len(got) == 82 and (got[80], got[81]) == ("block", "allow"), (bad, got[80], got[81])
