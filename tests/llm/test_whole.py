@@ -2,10 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldweave.llm import quality_rules, url_filter
+from fieldweave.llm import bsi_search, quality_rules, url_filter
 
 
 def test_every_trusted_document_counts(spark):
@@ -36,3 +37,24 @@ def test_evidence_anywhere_in_a_url(spark):
         df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
         got = {r.page_id: r.verdict for r in url_filter.url_verdicts(df, rules).collect()}
         assert len(got) == 82 and (got[80], got[81]) == ("block", "allow"), (bad, got[80], got[81])
+
+
+@pytest.mark.parametrize("size", [0.5, 5e3, 5e5])
+def test_search_of_large_components(spark, size):
+    g = np.random.default_rng(7)
+    x = (g.normal(size=(200, 12)) * size).round(3)
+    x[::9] /= 1000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    q = [[math.floor(256 * z) for z in v] for v in x.tolist()]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in bsi_search.top_k(df, df.where("vec_id % 20 = 0"), 5).collect()}
+    assert len(got) == 50
+    for i in range(0, 200, 20):
+        best = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in range(200) if j != i)[:5]
+        assert [got[i, k + 1] for k in range(5)] == [(j, -s) for s, j in best]
+
+
+@pytest.mark.parametrize("size", [1e7, 1e300])
+def test_search_overflow_is_an_error(spark, size):
+    df = spark.createDataFrame([(0, [size] * 4), (1, [-size] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="62 bits" if size > 1e9 else "64 bits"):
+        bsi_search.top_k(df, df, 1).collect()
