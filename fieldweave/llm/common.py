@@ -82,3 +82,14 @@ def slices(batch: pa.RecordBatch, rows: int = 512):
 def prefer(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; other columns, whatever they are called, stay out of the operator."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

@@ -24,7 +24,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """edges (u long, v long) -> (node, component): the smallest node it reaches; only nodes with edges are listed.
+    """edges (u, v), nodes of any one ordered type -> (node, component): the smallest node it reaches; only nodes with edges are listed.
 
     Every round is written to the shared folder, so a lost executor costs one round at most. Only a count
     and a checksum reach the driver. Loops (u = v) are ignored.

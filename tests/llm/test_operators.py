@@ -245,6 +245,7 @@ def test_near_duplicates(spark, sf_dir, docs):
 def test_near_duplicate_chains(spark, monkeypatch):
     """A large group whose members are linked only through others, larger than a block."""
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1500)
     g = np.random.default_rng(5)
     base, rows = [f"w{i}" for i in range(120)], []
     for i in range(150):
