@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space; a word is a maximal run of other characters.
 SPACES = " \t\n\x0b\x0c\r"
-WORD_SPLIT = r"[\x20\x09-\x0D]+"
+
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -59,9 +59,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def words_col(text):
-    """Words of a text column as an array (null text: none), inside the JVM."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT, -1), "")
+def spaced(text):
+    """A text column with each ASCII white space as a space (null: empty)."""
+    text = F.coalesce(text, F.lit(""))
+    for c in SPACES[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def split_words(text):
+    """Words of a text column as an array (null: none), inside the JVM; splitting at a plain space needs no pattern."""
+    return F.array_remove(F.split(spaced(text), " ", -1), "")
+
+
+words_col = split_words
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

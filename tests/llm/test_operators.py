@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -164,7 +165,7 @@ def brute_ratio(rows, labels):
         return h - (1 << 64) if h >> 63 else h
 
     def grams(text):
-        e = [xxhash.xxh64_intdigest(x[-3:].encode(), 42) for x in words(text)]
+        e = [xxhash.xxh64_intdigest(x.encode(), 42) for w in words(text) for x in re.findall(r"[!-/:-@\[-`{-~]+|[^!-/:-@\[-`{-~]+", w)]
 
         def chain(a, b):  # a hash of two longs: the second seeded with the first's
             return xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42))
@@ -202,6 +203,7 @@ def test_quality_edges(spark, odd, none, no_labels):
         assert r.llr == 0
     assert quality_rules.quality_rules(none, no_labels).count() == 0
     labels = spark.createDataFrame([(5, 1, 0), (5, 1, 0), (None, 1, 0), (6, None, None)], "doc_id long, quality int, toxic int")
+    odd = odd.withColumn("row_key", F.lit("x")).withColumn("k_own", F.lit(3))
     kept = quality_rules.keep_good(odd, labels)
     assert kept.columns == odd.columns and not [r for r in kept.collect() if len(words(r.text)) < 50]
 
