@@ -2,13 +2,13 @@
 
 Tokens are words (A-Z lower-cased) and one end mark a text. A word is spelled by pieces of an existing subword
 vocabulary, its first piece carrying the word mark; characters without a piece are spelled by byte pieces; the
-end mark is a piece of its own. Piece scores start from the vocabulary's own order and are re-estimated twice from
-the expected counts (forward-backward) of all training words. A word seen in training is also an arc of its own
-that spans the whole lattice, with the mass that Good-Turing leaves to seen tokens. A forward recursion in log
-space sums all arcs, so token probabilities are a proper (sub-)distribution and a text's score is their sum.
+end mark is a piece of its own. Piece scores start from the vocabulary's own order and are re-estimated from
+the expected counts (forward-backward) of all training words. A forward recursion in log space sums all
+segmentations of a word; pieces never span words, so a text's log probability is the sum over its tokens.
 
-Counts of all words are gathered in one table; frequent words (a fixed number) are looked up while a text is
-read, all others by a join, so no word count is dropped and no vocabulary is broadcast whole.
+Words are split, counted and looked up inside the JVM; only distinct words reach the lattice. All counts are in one table;
+the most frequent words (a fixed number of bounded length) are broadcast to the texts, all others meet them in a join, so no
+word's count is dropped and no vocabulary is broadcast whole.
 
 Cases: null text is empty (the end mark alone); null doc_id trains and is not held out; repeated rows count as
 often as they come and are scored each; with no training rows every count is 0 and the lattice is untrained; an
@@ -19,34 +19,23 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, prefer, slices
+from .common import Scratch, prefer, split_words
 
 MARK = "▁"
-#: Words looked up while reading; all rarer ones go through the join.
-FREQUENT = 100_000
-#: Entries of a local count table before it is passed on.
-LOCAL_WORDS = 300_000
+#: Words broadcast to the texts, and their characters at most; all others go through the join.
+FREQUENT, FREQUENT_CHARS = 100_000, 64
 #: Longest word that is scored in a batch of equal lengths; longer ones one at a time.
 LONG = 48
 _PRIME = np.uint64(0x100000001B3)
 _SMOOTH = 0.05
 #: Re-estimations of the piece scores.
-ROUNDS = 2
-
-
-def words_of(text: str | None) -> list[str]:
-    """Words of a text, A-Z lower-cased (bytes: ASCII case and white space only)."""
-    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").translate(_OTHER_SPACE).split(" ") if text else []
-
-
-_OTHER_SPACE = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
+ROUNDS = 1
 
 
 def is_held_out(doc_id: int | None, modulus: int = 7, remainder: int = 2) -> bool:
@@ -77,17 +66,17 @@ class Lattice:
         self.longest = max(map(len, names[: self.n_text]))
         self.index = {p: i for i, p in enumerate(names[: self.n_text])}
         keys = np.array([self._hash(p) for p in names[: self.n_text]], np.uint64)
-        bits, self.first, self.second = 21, np.full(1 << 21, -1, np.int32), np.full(1 << 16, -1, np.int32)
-        self.keys = np.append(keys, np.uint64(0))
-        self.shift = np.uint64(64 - bits)
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two pieces of the vocabulary are the same")
+        # Open addressing: a piece lies at its own slot or at the next free one after it.
+        bits = max(12, (64 * max(1, len(keys))).bit_length())
+        self.table, self.keys = np.full(1 << bits, -1, np.int32), np.append(keys, np.uint64(0))
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
         for i, k in enumerate(keys):
-            a, b = int(k) >> (64 - bits), int(k) & 0xFFFF
-            if self.first[a] < 0:
-                self.first[a] = i
-            elif self.second[b] < 0:
-                self.second[b] = i
-            else:
-                raise ValueError("two pieces share both slots of the lookup table")
+            at = int(k) >> (64 - bits)
+            while self.table[at] >= 0:
+                at = (at + 1) & self.last
+            self.table[at] = i
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -100,10 +89,14 @@ class Lattice:
     def find(self, h: np.ndarray) -> np.ndarray:
         """Ids of pieces by hash, -1 if none."""
         h = h * np.uint64(0x9E3779B97F4A7C15)
-        at = self.first[h >> self.shift]
-        hit = self.keys[at] == h
-        other = self.second[h & np.uint64(0xFFFF)]
-        return np.where(hit, at, np.where(self.keys[other] == h, other, -1))
+        slot = (h >> self.shift).astype(np.int64)
+        ids = self.table[slot]
+        wrong = np.flatnonzero((ids >= 0) & (self.keys[ids] != h))
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) & self.last
+            ids[wrong] = self.table[slot[wrong]]
+            wrong = wrong[(ids[wrong] >= 0) & (self.keys[ids[wrong]] != h[wrong])]
+        return ids
 
     def spelled(self, c: str) -> tuple[float, list[int]]:
         ids = [self.n_text + b for b in c.encode("utf-8", "surrogatepass")]
@@ -166,56 +159,35 @@ class Lattice:
                             expected[b] += s
         return alpha[n]
 
+    def _arcs(self, s: str, i: int):
+        """(end, log probability, pieces) of the arcs of s that start at i."""
+        for j in range(i + 1, min(len(s), i + self.longest) + 1):
+            p = self.index.get(s[i:j])
+            if p is not None:
+                yield j, float(self.logp[p]), (p,)
+            elif j == i + 1:
+                value, ids = self.spelled(s[i])
+                yield j, value, ids
+
     def _one(self, words: list[str], counts, expected) -> np.ndarray:
+        """One long word; arcs are made anew for each pass, so two numbers a character are held."""
         s = MARK + words[0]
-        n, get, lp = len(s), self.index.get, self.logp
-        ends: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
+        n = len(s)
+        alpha = np.full(n + 1, -np.inf)
+        alpha[0] = 0.0
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                p = get(s[i:j])
-                if p is not None:
-                    ends[j].append((i, float(lp[p]), (p,)))
-                elif j == i + 1:
-                    value, ids = self.spelled(s[i])
-                    ends[j].append((i, value, tuple(ids)))
-        alpha = [0.0] + [-math.inf] * n
-        for j in range(1, n + 1):
-            terms = [alpha[i] + v for i, v, _ in ends[j]]
-            top = max(terms)
-            alpha[j] = top + math.log(sum(math.exp(t - top) for t in terms)) if top > -math.inf else top
+            for j, v, _ in self._arcs(s, i):
+                alpha[j] = np.logaddexp(alpha[j], alpha[i] + v)
         if expected is not None:
-            beta: list[float] = [-math.inf] * n + [0.0]
-            for j in range(n, 0, -1):
-                for i, v, ids in ends[j]:
-                    beta[i] = float(np.logaddexp(beta[i], v + beta[j]))
+            beta = np.full(n + 1, -np.inf)
+            beta[n] = 0.0
+            for i in range(n - 1, -1, -1):
+                for j, v, ids in self._arcs(s, i):
+                    beta[i] = np.logaddexp(beta[i], v + beta[j])
                     share = math.exp(min(0.0, alpha[i] + v + beta[j] - alpha[n])) * counts[0]
                     for p in ids:
                         expected[p] += share
-        return np.array([alpha[n]])
-
-
-def _count(batches):
-    """Local counts of tokens: c in training rows, n in all rows."""
-    train, rest = Counter(), Counter()
-
-    def flush():
-        tokens = list(train.keys() | rest.keys())
-        c = [train[t] for t in tokens]
-        out = pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(c, pa.int64()), pa.array([a + rest[t] for a, t in zip(c, tokens)], pa.int64())], ["token", "c", "n"])
-        train.clear()
-        rest.clear()
-        return out
-
-    for batch in batches:
-        for part in slices(batch, 256):
-            for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                into = rest if is_held_out(doc) else train
-                into.update([w for w in words_of(text) if w])
-                into[""] += 1
-            if len(train) + len(rest) > LOCAL_WORDS:
-                yield flush()
-    if train or rest:
-        yield flush()
+        return alpha[n:]
 
 
 def _buffered(batches, rows: int = 100_000):
@@ -249,73 +221,55 @@ def _reestimated(words: DataFrame, names: list[str], logp: list[float]) -> list[
     return np.log(found / found.sum()).tolist()
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def lattice_scores(docs: DataFrame, vocabulary: str, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per row of docs."""
     spark = docs.sparkSession
-    scratch, texts = Scratch(spark, "lattice"), prefer(docs, "doc_id", "text")
-    counted = texts.mapInArrow(_count, "token string, c long, n long")
-    words = scratch.write(counted.groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
-    total, distinct, once = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1))).first()
-    names, start = load_pieces(vocabulary)
-
-    logp = start
+    scratch = Scratch(spark, "lattice")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    # Row numbers are written with the texts, so that each later scan sees the same ones.
+    texts = scratch.write(prefer(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "texts")
+    split = texts.select("row", F.when(held, 0).otherwise(1).alias("t"), split_words(F.col("text")).alias("w"))
+
+    # Words as they are written; distinct ones are lower-cased. The end mark is the token "". explode_outer: for explode, a filter
+    # on w would be inferred and computed as well.
+    raw = split.select("t", F.explode_outer("w").alias("raw")).groupBy("raw").agg(F.sum("t").alias("c"), F.count("*").alias("n")).where("raw is not null")
+    raw = scratch.write(raw.withColumn("token", F.translate("raw", _UPPER, _LOWER)), "raw")
+    ends = texts.select(F.lit("").alias("token"), F.when(held, 0).otherwise(1).alias("c"))
+    words = scratch.write(raw.select("token", "c").union(ends).groupBy("token").agg(F.sum("c").alias("c")), "words")
+    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    names, logp = load_pieces(vocabulary)
     for _ in range(ROUNDS if total else 0):
         logp = _reestimated(words, names, logp)
-    own = 1 - once / total if total else 0.0  # mass of whole-token arcs
-    own = min(own, 0.999)
 
     def score(batches):
         lattice = Lattice(names, logp)
         for b in _buffered(batches):
-            c = b["c"].to_numpy(zero_copy_only=False)
-            lp = lattice.forward(b["token"].to_pylist()) + math.log1p(-own)
-            if own > 0:
-                with np.errstate(divide="ignore"):
-                    lp = np.logaddexp(lp, np.log(c / total * own))
-            yield pa.RecordBatch.from_arrays([b["token"], b["c"], b["n"], pa.array(lp / math.log(10))], ["token", "c", "n", "lp"])
-
-    scored = scratch.write(words.mapInArrow(score, "token string, c long, n long, lp double"), "scored")
-    scratch.drop(words)
-    top = scored.orderBy(F.desc("n"), "token").limit(frequent).select("token", "c", "lp").collect()
-    known = spark.sparkContext.broadcast({t: (math.log10(c + 1), int(c > 0), lp) for t, c, lp in top})
-
-    def read(batches):
-        from pyspark import TaskContext
-
-        row, table = TaskContext.get().partitionId() << 40, known.value
-        get = table.get
-        for batch in batches:
-            for part in slices(batch, 256):
-                out = [[] for _ in range(8)]
-                for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                    tokens = Counter([w for w in words_of(text) if w])
-                    tokens[""] = 1
-                    base = lp = 0.0
-                    hits = n = 0
-                    for t, k in tokens.items():
-                        n += k
-                        f = get(t)
-                        if f:
-                            base += k * f[0]
-                            hits += k * f[1]
-                            lp += k * f[2]
-                        else:
-                            for column, value in zip(out, (row, None, None, t, k, 0.0, 0, 0.0)):
-                                column.append(value)
-                    for column, value in zip(out, (row, doc, n, None, 0, base, hits, lp)):
-                        column.append(value)
-                    row += 1
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["row", "doc_id", "n_tokens", "token", "k", "base", "hits", "lp"])
-
-    rows = scratch.write(texts.mapInArrow(read, "row long, doc_id long, n_tokens long, token string, k long, base double, hits long, lp double"), "rows")
-    heads = rows.where("token is null").drop("token", "k")
-    tail = rows.where("token is not null").select("row", "token", "k").join(scored.select("token", "c", F.col("lp").alias("p")), "token")
-    part = tail.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), (F.col("k") * F.log10(F.col("c") + 1)).alias("base"), F.when(F.col("c") > 0, F.col("k")).otherwise(0).alias("hits"), (F.col("k") * F.col("p")).alias("lp"))
-    summed = heads.unionByName(part).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("hits").alias("n_known"), F.sum("base").alias("b"), F.sum("lp").alias("score"))
+            yield pa.RecordBatch.from_arrays([b["token"], b["c"], pa.array(lattice.forward(b["token"].to_pylist()) / math.log(10))], ["token", "c", "lp"])
+
+    scored = scratch.write(words.mapInArrow(score, "token string, c long, lp double"), "scored")
+    known = scratch.write(raw.select("raw", "n", "token").join(scored, "token").select("raw", "n", F.log10(F.col("c") + 1).alias("base"), (F.col("c") > 0).cast("long").alias("hit"), "lp"), "known")
+    top = scratch.write(known.where(F.length("raw") <= FREQUENT_CHARS).orderBy(F.desc("n"), "raw").limit(frequent).drop("n"), "top")
+    scratch.drop(raw, words)
+
+    def summed(found: DataFrame) -> DataFrame:
+        return found.groupBy("row").agg(F.sum("base").alias("base"), F.sum("hit").alias("hit"), F.sum("lp").alias("lp"))
+
+    tokens = split.select("row", F.explode_outer("w").alias("raw"))
+    common = summed(tokens.join(F.broadcast(top), "raw", "left"))
+    rare = tokens.where("raw is not null").join(F.broadcast(top.select("raw")), "raw", "left_anti").groupBy("row", "raw").agg(F.count("*").alias("k"))
+    rare = rare.join(known.join(F.broadcast(top.select("raw")), "raw", "left_anti"), "raw")
+    rare = summed(rare.select("row", *[(F.col(x) * F.col("k")).alias(x) for x in ("base", "hit", "lp")]))
+    end = scored.where("token = ''").first()  # None for an empty table
+    c, lp = (end.c, end.lp) if end else (0, 0.0)
+    n_tokens = texts.select("row", "doc_id", (F.size(split_words(F.col("text"))) + 1).cast("long").alias("n_tokens"))
+    both = common.union(rare).groupBy("row").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("base", "hit", "lp")])
+    rows = n_tokens.join(both, "row")
     floor = math.log10(total + distinct + 1)
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    return summed.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("b") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score")
+    base = F.col("base") + F.lit(math.log10(c + 1)) - F.col("n_tokens") * F.lit(floor)
+    return rows.select("doc_id", held.alias("held_out"), "n_tokens", (F.col("hit") + F.lit(int(c > 0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("lp") + F.lit(lp)).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

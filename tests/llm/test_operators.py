@@ -525,6 +525,38 @@ def test_lattice_join_equals_lookup(spark, docs):
         assert a[i].score == pytest.approx(b[i].score, rel=1e-9) and a[i].n_known == b[i].n_known
 
 
+def test_lattice_score_by_all_segmentations(spark, monkeypatch):
+    """The score of a text is the product, over its tokens, of the sum over all ways to spell the token."""
+    monkeypatch.setattr(lattice_lm, "ROUNDS", 0)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    names, logp = lattice_lm.load_pieces(path)
+    known, spell = dict(zip(names[:-257], logp)), logp[-257:-1]
+
+    def total(s):
+        if not s:
+            return 1.0
+        out = sum(math.exp(known[s[:k]]) * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in known)
+        return out if s[0] in known else out + math.exp(sum(spell[b] for b in s[0].encode())) * total(s[1:])
+
+    texts = ["The cat", "thanea \u1e9e zebra THE", "", "  a\tb\nc "]
+    got = as_dict(lattice_lm.lattice_scores(table(spark, texts), path, frequent=3))
+    for i, t in enumerate(texts):
+        assert got[i].score == pytest.approx((logp[-1] + sum(math.log(total("▁" + low(w))) for w in words(t))) / math.log(10), rel=1e-9)
+
+
+def test_lattice_of_any_vocabulary():
+    """Vocabularies of any size find all their pieces; a very long word gives the same by both passes."""
+    g = np.random.default_rng(4)
+    pieces = sorted({"".join(map(chr, g.integers(97, 123, int(k)))) for k in g.integers(1, 9, 120_000)})
+    names = [*pieces, *[f"<0x{b:02X}>" for b in range(256)], ""]
+    lattice = lattice_lm.Lattice(names, [math.log(1 / len(names))] * len(names))
+    for p in pieces[::500]:
+        assert lattice._one([p], None, None)[0] == pytest.approx(lattice._alike([p], None, None)[0])
+    word = "ab" * 60_000
+    x = np.zeros(len(names))
+    assert math.isfinite(lattice.forward([word], np.ones(1), x)[0]) and x.sum() > 10_000
+
+
 def test_lattice_edges(spark, odd, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = lattice_lm.lattice_scores(odd.withColumnRenamed("size", "row"), path).collect()
