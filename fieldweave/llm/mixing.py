@@ -4,8 +4,10 @@ Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and s
 exceeds twice its source's words, the excess is shared anew by weight. Schedule: slot i falls at the golden-ratio
 point frac(i * phi), which the cumulative targets map to a source; slots are ranked per source, and slot r of a
 source takes block r of its documents, shuffled by hash and laid end to end, repeated once over. Blocks hold equally
-many words. The first ceil(target / block) slots of a source count, the last one cut short; slots that the sequence
-still owes a source come at the end.
+many words (the last one before a source's end fewer), and there are as many slots as whole blocks in all targets together. So the
+points alone decide how often a source comes and in which order; a source's words miss its target by a few blocks at most.
+
+A block holds BLOCK_WORDS words, or the LEAST_SLOTS-th part of the mix where that is less.
 
 Positions and ranks come from sums over buckets of a source, never from one source's rows in one task.
 
@@ -18,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, prefer, words_col
+from .common import Scratch, free_names, prefer, shuffle_partitions, split_words
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
-#: Words in a block, at most.
-BLOCK_WORDS = 2048
+#: Words in a block, at most, and slots in the schedule, at least (as far as there are words).
+BLOCK_WORDS, LEAST_SLOTS = 2048, 1 << 16
 #: Documents in a bucket of a source, on average.
 BUCKET_ROWS = 4096
 #: Slots ranked together, and cells of the unit interval in which sources are looked up.
@@ -59,7 +61,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def laid_out(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """Documents with their first word's place `at` in the shuffled source; and the number of rows."""
-    slim = prefer(docs, "doc_id", "source", "text").select("doc_id", "source", F.size(words_col(F.col("text"))).cast("long").alias("size"), F.xxhash64("doc_id", F.xxhash64("text"), F.lit(SEED)).alias("h"))
+    slim = prefer(docs, "doc_id", "source", "text").select("doc_id", "source", F.size(split_words(F.col("text"))).cast("long").alias("size"), F.xxhash64("doc_id", F.xxhash64("text"), F.lit(SEED)).alias("h"))
     slim = scratch.write(slim, "sizes")
     n = slim.count()
     buckets = max(1, -(-n // BUCKET_ROWS))
@@ -73,65 +75,73 @@ def laid_out(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     return placed.select("doc_id", "source", "size", "h", (F.col("ahead") + F.col("own")).alias("at")), n
 
 
-def schedule(targets: DataFrame, block: int, scratch: Scratch) -> DataFrame:
-    """Slots: source, rank, words (the block's, the last one's fewer), slot (its place in the schedule)."""
+def schedule(targets: DataFrame, block: int) -> DataFrame:
+    """Slots: source, rank, words (the block's, before a source's end fewer), slot (its place in the schedule)."""
     spark = targets.sparkSession
-    wanted = targets.select("source", "lo", "hi", F.floor(F.col("target")).cast("long").alias("goal")).where("goal > 0")
-    n = int(wanted.agg(F.coalesce(F.sum(F.ceil(F.col("goal") / block)), F.lit(0))).first()[0])
-    n += n // 64 + 1  # a few more, for the sequence's discrepancy
+    wanted = targets.where("target > 0").select("source", "lo", "hi", (MOST_EPOCHS * F.col("source_size")).alias("most"))
+    n = int(targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0] // block)
     cells = wanted.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)).cast("int"))))
     high = 1 << 20  # i * phi in two parts keeps the fraction exact for large i
     step = (high * GOLDEN) % 1.0
     point = F.pmod(F.expr(f"id div {high}") * F.lit(step) + (F.col("id") % high) * F.lit(GOLDEN), F.lit(1.0))
     slots = spark.range(n).withColumn("p", point).withColumn("cell", F.floor(F.col("p") * CELLS).cast("int"))
-    slots = slots.join(cells, "cell").where("p >= lo and p < hi").select("source", "id", "goal", F.expr(f"id div {CHUNK}").alias("chunk"))
+    slots = slots.join(cells, "cell").where("p >= lo and p < hi").select("source", "id", "most", F.expr(f"id div {CHUNK}").alias("chunk"))
     # Ranks by source: counts of whole chunks before, then within the chunk.
     per = slots.groupBy("source", "chunk").agg(F.count("*").alias("c"))
     ahead = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(F.col("source").alias("s_source"), F.col("chunk").alias("s_chunk"), F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("ahead"), "c")
     within = Window.partitionBy("source", "chunk").orderBy("id")
     ranked = slots.withColumn("r", F.row_number().over(within) - 1)
-    ranked = ranked.join(per, ranked.source.eqNullSafe(F.col("s_source")) & (F.col("chunk") == F.col("s_chunk"))).select("source", (F.col("ahead") + F.col("r")).alias("rank"), "goal", F.col("id").alias("slot"))
-    had = per.groupBy("s_source").agg(F.sum("c").alias("had"))
-    owed = wanted.join(had, wanted.source.eqNullSafe(F.col("s_source")), "left").select("source", "goal", F.coalesce("had", F.lit(0)).alias("had"), F.ceil(F.col("goal") / block).alias("need")).where("had < need")
-    owed = owed.select("source", F.explode(F.sequence("had", F.col("need") - 1)).alias("rank"), "goal", F.lit(n).cast("long").alias("slot"))
-    return ranked.where(F.col("rank") * block < F.col("goal")).unionByName(owed).select("source", "rank", "slot", F.least(F.lit(block), F.col("goal") - F.col("rank") * block).alias("words"))
+    ranked = ranked.join(per, ranked.source.eqNullSafe(F.col("s_source")) & (F.col("chunk") == F.col("s_chunk"))).select("source", (F.col("ahead") + F.col("r")).alias("rank"), "most", F.col("id").alias("slot"))
+    return ranked.where(F.col("rank") * block < F.col("most")).select("source", "rank", "slot", F.least(F.lit(block), F.col("most") - F.col("rank") * block).alias("words"))
 
 
 def mix(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of docs: doc_id, source, h, size, source_size, target, taken_1, taken_2 (words taken in the first and second
-    run through the source), taken (their sum)."""
+    run through the source), slot_1, slot_2 (the slots of their first words), taken (words in all)."""
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     placed, _ = laid_out(docs, scratch)
     placed = scratch.write(placed.withColumn("row", F.monotonically_increasing_id()), "placed")
     targets = scratch.write(source_targets(placed.select("source", "size")), "targets")
-    total, least = targets.agg(F.sum("target"), F.min(F.when(F.col("target") >= 1, F.col("target")))).first()
-    block = max(1, min(BLOCK_WORDS, int((least or 1) // 16), int((total or 1) // 256)))
-    block = max(block, int((total or 0) // 4_000_000_000))
-    slots = schedule(targets, block, scratch)
-    sizes = targets.select(F.col("source").alias("t_source"), "source_size", "target")
-    known = placed.join(F.broadcast(sizes) if targets.count() <= 100_000 else sizes, placed.source.eqNullSafe(F.col("t_source")))
+    total, n_sources = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count("*")).first()
+    block = max(1, min(BLOCK_WORDS, int(total // LEAST_SLOTS)))
+    slots = scratch.write(schedule(targets, block), "slots")
+    had = slots.groupBy("source").agg(F.sum("words").alias("had")).select(F.col("source").alias("h_source"), "had")
+    sizes = targets.join(had, targets.source.eqNullSafe(F.col("h_source")), "left").select(F.col("source").alias("t_source"), "source_size", "target", F.coalesce("had", F.lit(0)).alias("had"))
+    known = placed.join(F.broadcast(sizes) if n_sources <= 100_000 else sizes, placed.source.eqNullSafe(F.col("t_source")))
     # Words [lo, hi) of a document's run e lie in blocks lo div block .. (hi - 1) div block of the stream.
     run = F.explode(F.sequence(F.lit(0), F.lit(MOST_EPOCHS - 1)))
-    parts = known.where("size > 0").withColumn("e", run).select("row", "source", "e", (F.col("at") + F.col("e") * F.col("source_size")).alias("lo"), "size", "target").where("lo < target")
+    parts = known.where("size > 0").withColumn("e", run).select("row", "source", "e", (F.col("at") + F.col("e") * F.col("source_size")).alias("lo"), "size", "had").where("lo < had")
     parts = parts.withColumn("hi", F.col("lo") + F.col("size")).withColumn("block", F.explode(F.sequence(F.expr(f"lo div {block}"), F.expr(f"(hi - 1) div {block}"))))
-    met = parts.join(slots.select(F.col("source").alias("k_source"), "rank", "words"), parts.source.eqNullSafe(F.col("k_source")) & (F.col("block") == F.col("rank")))
+    met = parts.join(slots.select(F.col("source").alias("k_source"), "rank", "slot", "words"), parts.source.eqNullSafe(F.col("k_source")) & (F.col("block") == F.col("rank")))
     words = F.greatest(F.lit(0), F.least("hi", F.col("block") * block + F.col("words")) - F.greatest("lo", F.col("block") * block))
-    taken = met.withColumn("t", words).groupBy("row").agg(*[F.sum(F.when(F.col("e") == e, F.col("t")).otherwise(0)).alias(f"taken_{e + 1}") for e in range(MOST_EPOCHS)])
-    each = [F.coalesce(f"taken_{e + 1}", F.lit(0)).alias(f"taken_{e + 1}") for e in range(MOST_EPOCHS)]
-    out = known.join(taken, "row", "left").select("doc_id", "source", "h", "size", "source_size", "target", *each)
+    each = [F.when(F.col("e") == e, F.col("t")) for e in range(MOST_EPOCHS)], [F.when((F.col("e") == e) & (F.col("t") > 0), F.struct("block", "slot")) for e in range(MOST_EPOCHS)]
+    taken = met.withColumn("t", words).groupBy("row").agg(*[F.sum(c).alias(f"taken_{e + 1}") for e, c in enumerate(each[0])], *[F.min(c)["slot"].alias(f"slot_{e + 1}") for e, c in enumerate(each[1])])
+    runs = [F.coalesce(f"taken_{e + 1}", F.lit(0)).alias(f"taken_{e + 1}") for e in range(MOST_EPOCHS)]
+    out = known.join(taken, "row", "left").select("doc_id", "source", "h", "size", "source_size", "target", *runs, *[f"slot_{e + 1}" for e in range(MOST_EPOCHS)])
     return out.withColumn("taken", sum((F.col(f"taken_{e + 1}") for e in range(MOST_EPOCHS)), F.lit(0)))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken; the one that a source's target cuts is cut to its first words."""
-    taken = mix(docs).where("taken > 0").select(F.col("doc_id").alias("m_doc"), F.col("source").alias("m_source"), F.col("h").alias("m_h"), F.explode(F.array("taken_1", "taken_2")).alias("m_words"), F.col("size").alias("m_size")).where("m_words > 0")
-    taken = taken.groupBy("m_doc", "m_source", "m_h", "m_size").agg(F.collect_list("m_words").alias("m_all"))
-    own = docs.withColumn("m_own", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(SEED))).dropDuplicates(["doc_id", "source", "m_own"])
-    rows = own.join(taken, own.doc_id.eqNullSafe(F.col("m_doc")) & own.source.eqNullSafe(F.col("m_source")) & (F.col("m_own") == F.col("m_h"))).withColumn("m_take", F.explode("m_all"))
-    cut = F.array_join(F.slice(words_col(F.col("text")), F.lit(1), F.col("m_take").cast("int")), " ")
-    text = F.when(F.col("m_take") < F.col("m_size"), cut).otherwise(F.col("text"))
-    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """The mix itself, in the order of its slots: each document as often as it is taken; the one that a source's last block cuts is cut to
+    its first words. The column n_chars, if there is one, is set to the characters of the text."""
+    doc, source, hashed, words, size, slot = names = free_names(docs, "m_doc", "m_source", "m_hash", "m_words", "m_size", "m_slot")
+    scratch = Scratch(docs.sparkSession, "mixing")
+    runs = F.explode(F.array(*[F.struct(F.col(f"taken_{e + 1}").alias("t"), F.col(f"slot_{e + 1}").alias("s")) for e in range(MOST_EPOCHS)])).alias("run")
+    taken = mix(docs, scratch).where("taken > 0").select("doc_id", "source", "h", "size", runs).where("run.t > 0")
+    taken = scratch.write(taken.select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("h").alias(hashed), F.col("run.t").alias(words), F.col("size").alias(size), F.col("run.s").alias(slot)), "taken")
+    last = taken.agg(F.max(slot)).first()[0] or 0
+    own = free_names(docs.withColumns({n: F.lit(0) for n in names}), "m_own")[0]
+    keyed = docs.withColumn(own, F.xxhash64("doc_id", F.xxhash64("text"), F.lit(SEED))).dropDuplicates(["doc_id", "source", own])
+    rows = keyed.join(taken, keyed.doc_id.eqNullSafe(F.col(doc)) & keyed.source.eqNullSafe(F.col(source)) & (F.col(own) == F.col(hashed)))
+    cut = F.array_join(F.slice(split_words(F.col("text")), F.lit(1), F.col(words).cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col(words) < F.col(size), cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    # Slots are dealt to tasks in equal runs.
+    tasks = shuffle_partitions(docs.sparkSession)
+    ordered = rows.repartitionById(tasks, F.floor(F.col(slot) * tasks / (last + 1)).cast("int")).sortWithinPartitions(slot, own)
+    return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
