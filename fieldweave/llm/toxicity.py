@@ -1,15 +1,15 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons and patterns: a short general lexicon of insults, words and word beginnings mined from
-labelled training rows, their density, shouting and symbol runs, and one that votes "clean" where nothing is
-found. The annotator of the training rows is one more voter. A generative label model (EM over the distinct vote patterns)
-estimates each voter's accuracy; correlations of voters given its posterior lower the weight of voters that say the
-same thing twice.
-A linear classifier is trained on the posterior labels and scores every whole text.
+Voters are lexicons and patterns: a short general lexicon of insults; words and word beginnings mined from labelled training
+rows, in lexicons by purity; how many of them a text holds, how densely, where and in what company; shouting and symbol
+runs; and some that vote "clean" where nothing is found. The given labels are no voter. A generative label model (EM over
+the distinct vote patterns) estimates each voter's accuracy; voters that tell no more than the prior get no weight, and
+correlations given the label lower the weight of voters that say the same thing twice.
+A linear classifier is trained on the model's posterior labels and scores every whole text.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 4 is not 2, from at most SAMPLE_ROWS of them (those
-with the smallest id hashes); everything else covers all documents. Labels, lang, source and doc_id are never
-inputs of a score.
+with the smallest id hashes); everything else covers all documents. All terms of the sample that pass the tests of purity and
+chance are used. Labels, lang, source and doc_id are never inputs of a score.
 
 Cases: null or empty text scores as a text without any hit; null doc_id is not held out; repeated label rows
 count as toxic if one of them is; without labels only the general lexicon and the patterns score; repeated
@@ -31,14 +31,13 @@ from .common import Scratch, prefer, slices
 
 #: Labelled training rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 40_000
-#: Mined terms, at most; the purest and most frequent stay.
-MOST_TERMS = 4_000
-#: Candidate terms of toxic rows whose use in clean rows is counted, at most.
-CANDIDATES = 60_000
 LEAST_ROWS, PURITY = 4, 0.4
 #: Chance of any candidate term being mined although it tells nothing (a bound over all candidates together).
 CHANCE = 0.01
-WORD_GROUPS, PREFIX_GROUPS = 3, 2
+#: Lower bounds of purity of the lexicons of mined words, and of mined word beginnings.
+GRADES = (0.4, 0.6, 0.8, 0.95)
+#: Words whose terms a reader remembers.
+CACHE_WORDS = 100_000
 THRESHOLD = 0.3
 
 #: A general lexicon of insults.
@@ -47,7 +46,8 @@ INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers scum tra
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]{3}")
 _SHOUT = re.compile(r"\b[^\W\d_a-z]{3,}!!")
-VOTERS = 1 + WORD_GROUPS + PREFIX_GROUPS + 6
+PATTERNS = ("likely", "sure", "dense", "two", "four", "early", "middle", "late", "close", "loud", "shout", "symbols", "nothing", "no word", "no lexicon")
+VOTERS = 1 + 2 * len(GRADES) + len(PATTERNS)
 
 
 def _prefixes(word: str):
@@ -74,14 +74,17 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659F
 
 @dataclass
 class Model:
-    """terms: mined term -> feature; weights: of terms, then of the voters; bias."""
+    """terms: mined term -> feature; purity: the share of toxic rows among those with the term; prior: that of all rows; weights: of
+    terms, then of the voters; bias."""
 
     terms: dict[str, int]
+    purity: list[float]
+    prior: float
     weights: np.ndarray
     bias: float
 
     def reader(self):
-        return _Reader(self.terms)
+        return _Reader(self.terms, self.purity, self.prior)
 
     def score(self, features: list[int]) -> float:
         z = self.bias + float(self.weights[features].sum())
@@ -91,13 +94,15 @@ class Model:
 class _Reader(dict):
     """word -> the mined terms that it shows; votes and features of a text."""
 
-    def __init__(self, terms: dict[str, int]):
+    def __init__(self, terms: dict[str, int], purity: list[float], prior: float):
         super().__init__()
         self.terms = terms
-        self.names = {i: t for t, i in terms.items()}
+        self.lexicon = [1 + sum(q >= g for g in GRADES[1:]) + len(GRADES) * (t[-1] == "-") for t, q in zip(sorted(terms, key=terms.get), purity)]
+        self.start = float(np.log(prior / (1 - prior)))
+        self.odds = [float(np.log(min(q, 0.98) / (1 - min(q, 0.98)))) - self.start for q in purity]
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 400_000:
+        if len(self) > CACHE_WORDS:
             self.clear()
         get = self.terms.get
         found = tuple(i for i in map(get, [word, *_prefixes(word)]) if i is not None)
@@ -109,56 +114,72 @@ class _Reader(dict):
     def read(self, text: str | None) -> tuple[tuple[int, ...], list[int]]:
         text = text or ""
         words = _WORD.findall(text.lower())
-        hits = [h for w in words for h in self[w]]
-        seen = set(hits)
+        at = [k for k, w in enumerate(words) if self[w]]
+        seen = {h for k in at for h in self[words[k]]}
         votes = [0] * VOTERS
         if -1 in seen:
             votes[0] = 1
             seen.discard(-1)
         for i in seen:
-            t = self.names[i]
-            votes[1 + WORD_GROUPS + i % PREFIX_GROUPS if t[-1] == "-" else 1 + i % WORD_GROUPS] = 1
-        last = 1 + WORD_GROUPS + PREFIX_GROUPS
-        votes[last] = int(len(hits) * 300 >= len(words) and bool(hits))
-        votes[last + 1] = int(bool(_SHOUT.search(text)))
-        votes[last + 2] = int(bool(_SYMBOLS.search(text)))
-        votes[last + 3] = -int(not hits)
-        distinct = len({w for w in set(words) if self[w]})
-        votes[last + 4], votes[last + 5] = int(distinct >= 2), int(distinct >= 4)
-        n = len(self.terms)
-        return tuple(votes), sorted(seen) + [n + v for v in range(VOTERS) if votes[v]]
+            votes[self.lexicon[i]] = 1
+        n, first = len(words), 1 + 2 * len(GRADES)
+        shown = {words[k] for k in at}
+        distinct = len(shown)
+        odds = self.start + sum(max((self.odds[i] for i in self[w] if i >= 0), default=0.0) for w in shown)
+        votes[first:] = [
+            int(odds > 0),
+            int(odds > 3),
+            int(bool(at) and len(at) * 300 >= n),
+            int(distinct >= 2),
+            int(distinct >= 4),
+            int(any(3 * k < n for k in at)),
+            int(any(n <= 3 * k < 2 * n for k in at)),
+            int(any(3 * k >= 2 * n for k in at)),
+            int(any(b - a <= 10 for a, b in zip(at, at[1:]))),
+            int(bool(at) and any(words[k].upper() in text for k in at)),
+            int(bool(_SHOUT.search(text))),
+            int(bool(_SYMBOLS.search(text))),
+            -int(not at),
+            -int(not any(votes[1 : 1 + len(GRADES)])),
+            -int(not votes[0]),
+        ]
+        m = len(self.terms)
+        return tuple(votes), sorted(seen) + [m + v for v in range(VOTERS) if votes[v]]
 
 
 class LabelModel:
     """Naive Bayes over votes (-1, 0, 1) with a hidden label, fitted by EM on pattern counts."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, known_error: float = 1e-4):
-        """The last voter is the annotator, whose error rate is given; those of all others are estimated."""
-        votes = patterns + 1
-        n, m = votes.shape
-        onehot = np.eye(3)[votes]  # [pattern, voter, vote]
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, balance: float, rounds: int = 50):
+        """balance: the share of toxic rows, which is given; all else is estimated. (With a free share, few patterns may lead
+        the rounds to a label of its own that no voter for toxic texts supports.)"""
+        onehot = np.eye(3)[patterns + 1]  # [pattern, voter, vote]
         positive = (patterns == 1).sum(1) - 2 * (patterns == -1).sum(1)
-        post = np.where(patterns[:, -1], np.clip(0.5 + 0.48 * patterns[:, -1], 0.02, 0.98), np.clip(0.5 + 0.2 * positive, 0.02, 0.98))
-        self.weight = np.ones(m)
+        post = np.clip(0.5 + 0.2 * positive, 0.02, 0.98)
+        self.weight = np.ones(patterns.shape[1])
+        self.prior = float(np.clip(balance, 1e-3, 0.5))
         for _ in range(rounds):
             w1, w0 = counts * post, counts * (1 - post)
-            self.prior = float(np.clip(w1.sum() / counts.sum(), 1e-3, 0.5))
             self.p1 = (np.einsum("n,nmv->mv", w1, onehot) + 0.5) / (w1.sum() + 1.5)
             self.p0 = (np.einsum("n,nmv->mv", w0, onehot) + 0.5) / (w0.sum() + 1.5)
-            self.p1[-1], self.p0[-1] = [known_error, 0.0, 1 - known_error], [1 - known_error, 0.0, known_error]
-            self.p1[-1][1] = self.p0[-1][1] = 1.0  # no mark says nothing
+            self._weigh(patterns, counts, post)
             post = self.posterior(patterns)
-        # Correlations given the label: voters that move together share one voice.
-        total = np.zeros((m, m))
+
+    def _weigh(self, patterns: np.ndarray, counts: np.ndarray, post: np.ndarray) -> None:
+        """Weights of voters by their accuracies and by their correlations given the label: voters that move together share one voice."""
+        total = 0.0
         for w, p in ((counts * post, self.p1), (counts * (1 - post), self.p0)):
             centred = patterns - p @ np.array([-1.0, 0.0, 1.0])
             cov = np.einsum("n,ni,nj->ij", w, centred, centred) / max(w.sum(), 1e-9)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            total += w.sum() / counts.sum() * np.abs(cov / np.outer(sd, sd))
+            total = total + w.sum() / counts.sum() * np.abs(cov / np.outer(sd, sd))
         self.correlation = total
-        self.weight = 1.0 / np.maximum(1.0, total.sum(1) - np.diag(total) + 1.0)
-        self.weight[-1] = 1.0
-        self.accuracy = self.p1[:, 2] * self.prior / np.maximum(self.p1[:, 2] * self.prior + self.p0[:, 2] * (1 - self.prior), 1e-12)
+        # Accuracy: how often a voter that votes is right, against what the prior alone would give it.
+        yes, no = self.p1 * self.prior, self.p0 * (1 - self.prior)
+        given = np.maximum(yes[:, 0] + yes[:, 2] + no[:, 0] + no[:, 2], 1e-12)
+        self.accuracy = (yes[:, 2] + no[:, 0]) / given
+        by_chance = (self.prior * (yes[:, 2] + no[:, 2]) + (1 - self.prior) * (yes[:, 0] + no[:, 0])) / given
+        self.weight = (self.accuracy > by_chance) / np.maximum(1.0, total.sum(1) - np.diag(total) + 1.0)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         at = np.arange(patterns.shape[1])
@@ -198,61 +219,56 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> M
     def terms(words: set[str]) -> set[str]:
         return {w for w in words if len(w) >= 3} | {p for w in words for p in _prefixes(w)}
 
-    def counted(only: frozenset[str] | None):
-        def run(batches):
-            found: Counter = Counter()
-            for batch in batches:
-                for part in slices(batch, 256):
-                    for text in part["text"].to_pylist():
-                        t = terms(set(_WORD.findall(text.lower())))
-                        found.update(t if only is None else t & only)
-                if len(found) > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
-                    found.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
-
-        return run
-
-    def table(rows: DataFrame, only=None) -> DataFrame:
-        return rows.mapInArrow(counted(only), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-    # Of a toxic row's words, most are common to all rows; those are left out at once by comparing shares.
-    toxic = dict(map(tuple, table(sample.where("toxic = 1")).where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()))
-    clean = dict(map(tuple, table(sample.where("toxic = 0"), frozenset(toxic)).collect())) if toxic else {}
-    n_rows, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    prior, needed = min(max(n_toxic / max(1, n_rows), 1e-6), 1 - 1e-6), np.log(max(1, len(toxic)) / CHANCE)
-
-    def telling(t: str) -> bool:
-        n = toxic[t] + clean.get(t, 0)
-        q = toxic[t] / n
-        evidence = q * np.log(q / prior) + (1 - q) * np.log(max(1 - q, 1e-12) / (1 - prior))
-        return q >= PURITY and n * evidence >= needed
-
-    pure = sorted(filter(telling, toxic), key=lambda t: (clean.get(t, 0) - toxic[t], t))[:MOST_TERMS]
-    index = {t: i for i, t in enumerate(pure)}
+    def counted(batches):
+        kinds = [Counter(), Counter()]
+
+        def flush():
+            found = list(kinds[0].keys() | kinds[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *[pa.array([k[t] for t in found], pa.int64()) for k in kinds]], ["term", "clean", "toxic"])
+            for k in kinds:
+                k.clear()
+            return out
+
+        for batch in batches:
+            for part in slices(batch, 256):
+                for text, toxic in zip(part["text"].to_pylist(), part["toxic"].to_pylist()):
+                    kinds[toxic != 0].update(terms(set(_WORD.findall(text.lower()))))
+                if len(kinds[0]) + len(kinds[1]) > 200_000:
+                    yield flush()
+        yield flush()
+
+    known = sample.mapInArrow(counted, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    known = scratch.write(known.where(F.col("toxic") >= LEAST_ROWS), "terms")
+    n_rows, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") != 0).cast("int")), F.lit(0))).first()
+    prior, needed = min(max(n_toxic / max(1, n_rows), 1e-6), 1 - 1e-6), float(np.log(max(1, known.count()) / CHANCE))
+    n, q = F.col("clean") + F.col("toxic"), F.col("toxic") / (F.col("clean") + F.col("toxic"))
+    evidence = q * F.log(q / prior) + (1 - q) * F.log(F.greatest(1 - q, F.lit(1e-12)) / (1 - prior))
+    # The sample is bounded, and with it the terms that tell something.
+    pure = known.where((q >= PURITY) & (n * evidence >= needed)).select("term", q.alias("q")).orderBy("term").collect()
+    index = {r.term: i for i, r in enumerate(pure)}
+    purity = [r.q for r in pure]
 
     def read(batches):
-        reader = _Reader(index)
+        reader = _Reader(index, purity, prior)
         for batch in batches:
             for part in slices(batch, 256):
                 votes, features = zip(*map(reader.read, part["text"].to_pylist())) if part.num_rows else ((), ())
-                marks = [1 if x else -1 for x in part["toxic"].to_pylist()]  # the annotator is one more voter
-                yield pa.RecordBatch.from_arrays([pa.array([[*v, x] for v, x in zip(votes, marks)], pa.list_(pa.int32())), pa.array(features, pa.list_(pa.int32()))], ["votes", "features"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(list, votes)), pa.list_(pa.int32())), pa.array(features, pa.list_(pa.int32()))], ["votes", "features"])
 
     rows = sample.mapInArrow(read, "votes array<int>, features array<int>").collect()  # at most SAMPLE_ROWS
-    scratch.drop(sample, keyed)
+    scratch.drop(sample, keyed, known)
     size = len(index) + VOTERS
     if not rows:
         weights = np.zeros(size)
         weights[len(index)] = 5.0
-        return Model(index, weights, -3.0)
+        return Model(index, purity, prior, weights, -3.0)
     rows.sort(key=lambda r: (r.votes, r.features))
     patterns = Counter(tuple(r.votes) for r in rows)
     votes = np.array(list(patterns), int)
-    model = LabelModel(votes, np.array(list(patterns.values()), float))
+    model = LabelModel(votes, np.array(list(patterns.values()), float), prior)
     posterior = dict(zip(patterns, model.posterior(votes)))
     weights, bias = _train([r.features for r in rows], np.array([posterior[tuple(r.votes)] for r in rows]), size)
-    return Model(index, weights, bias)
+    return Model(index, purity, prior, weights, bias)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
