@@ -10,8 +10,10 @@ import re
 
 import numpy as np
 
-#: Most units a worker keeps; beyond it the cache starts afresh, which bounds memory and changes no result.
-CACHE_UNITS = 800_000
+#: Bytes that a worker keeps of units, and of their pieces, at most; beyond them a cache starts afresh, which changes no result.
+CACHE_BYTES = 60_000_000
+#: What an entry takes besides its text and its ids.
+_ENTRY = 210
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Units without such characters (a space in front aside) are cut by the rules below; all others go through the whole tokenizer.
@@ -42,10 +44,15 @@ class _Units(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.bytes = make, 0
 
     def __missing__(self, key: str) -> bytes:
-        ids = self[key] = self.make(key)
+        ids = self.make(key)
+        self.bytes += _ENTRY + 2 * len(key) + len(ids)
+        if self.bytes > CACHE_BYTES:
+            self.clear()
+            self.bytes = 0
+        self[key] = ids
         return ids
 
 
@@ -94,9 +101,6 @@ class UnitEncoder:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        for kept in (self.cache, self.pieces):
-            if len(kept) > CACHE_UNITS:
-                kept.clear()
         return b"".join(map(self.cache.__getitem__, self.split(text)))
 
 
