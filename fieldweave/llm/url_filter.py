@@ -6,7 +6,8 @@ and combinations that point to a verdict with enough confidence and support beco
 shorter one for the same verdict is pruned. Urls without an explicit rule are matched through an inverted index
 that lists each mined rule under its rarest token; the most confident fitting rule wins, else the url is allowed.
 
-The number of mined rules is bounded by the support threshold, not by the number of urls.
+A combination is frequent with SUPPORT of the labelled urls, and LEAST_URLS of them. So the number of mined rules is bounded by the
+support threshold, not by the number of urls.
 
 Cases: null urls or urls without `://` have an empty host and path, fit no rule and have no tokens: they are allowed;
 repeated rows are labelled and judged as often as they come; without labelled urls no rule is mined; an empty table
@@ -34,7 +35,7 @@ RULES = (
 )
 SUPPORT, CONFIDENCE = 0.002, 0.9
 #: Labelled urls that a rule needs at least, whatever the share.
-LEAST_URLS = 20
+LEAST_URLS = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -88,28 +89,28 @@ def tokens(host, path, query=None):
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(*found)))
 
 
-def _alike(labelled: DataFrame, least: int) -> dict[str, list[str]]:
-    """Tokens of `least` urls or more by the first of those that occur in exactly the same urls (by two 64-bit hashes)."""
+def _alike(labelled: DataFrame, least: int) -> tuple[dict[str, list[str]], dict[str, int]]:
+    """Tokens of `least` urls or more by the first of those that occur in exactly the same urls (by two 64-bit hashes), and the urls of each."""
     rows = labelled.select(F.monotonically_increasing_id().alias("rid"), F.explode(F.array_distinct("items")).alias("token"))
     seen = rows.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("a"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("b")).where(F.col("n") >= least)
     groups: dict[tuple, list[str]] = {}
     for r in sorted(seen.collect()):
         groups.setdefault((r.n, r.a, r.b), []).append(r.token)
-    return {g[0]: g for g in groups.values()}
+    return {g[0]: g for g in groups.values()}, {t: n for (n, _, _), g in groups.items() for t in g}
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST_URLS) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """(tokens, verdict, confidence, support) of pruned rules, from rows (items, given).
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST_URLS) -> tuple[list[tuple[tuple[str, ...], str, float, float]], dict[str, int]]:
+    """(tokens, verdict, confidence, support) of pruned rules, from rows (items, given); and the labelled urls of each frequent token.
 
     Of tokens that occur in the same urls one stands for all while combinations are mined, as k of them would make 2^k
     combinations; each rule is then given with every choice among them."""
     from pyspark.ml.fpm import FPGrowth
 
     n = labelled.count()
-    if n < least:
-        return []
+    if n < max(1, least):  # no combination can have so many urls
+        return [], {}
     share = max(support, least / n)
-    groups = _alike(labelled, math.ceil(share * n))
+    groups, uses = _alike(labelled, math.ceil(share * n))
     first = {t: f for f, g in groups.items() for t in g}
 
     def run(batches):
@@ -140,17 +141,13 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
         known.add(frozenset(items))
         sizes[verdict].add(len(items))
         rules += [(tuple(sorted(chosen)), verdict, c, s) for chosen in product(*(groups[t] for t in items))]
-    return rules
+    return rules, uses
 
 
 class RuleIndex:
-    """Rules listed under their rarest token."""
+    """Rules listed under their token that the fewest urls have."""
 
-    def __init__(self, rules):
-        uses: dict[str, int] = {}
-        for items, *_ in rules:
-            for t in items:
-                uses[t] = uses.get(t, 0) + 1
+    def __init__(self, rules, uses: dict[str, int]):
         self.under: dict[str, list] = {}
         for r in rules:
             self.under.setdefault(min(r[0], key=lambda t: (uses[t], t)), []).append(r)
@@ -167,7 +164,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, support: float = SUPPORT, confid
     host, path = split_url(F.col("url"))
     read = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"), query_of(F.col("url")).alias("query"))
     parsed = scratch.write(explicit(read, rules).withColumn("items", tokens(F.col("host"), F.col("path"), F.col("query"))).drop("query"), "urls")
-    index = RuleIndex(mine(parsed.where("given is not null"), support, confidence))
+    index = RuleIndex(*mine(parsed.where("given is not null"), support, confidence))
 
     def run(batches):
         for batch in batches:
