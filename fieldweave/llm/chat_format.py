@@ -10,7 +10,8 @@ and `>` is `\\g`, so no control string can come from them and reading back is ex
 
 Cases: null text is empty; null role is an empty role; turns are ordered by turn (null first), then role and text, so
 repeated rows are turns of their own; null conv_id is a conversation of its own; an empty table gives no
-rows; extra columns are ignored.
+rows; extra columns are ignored, and so is a column `parts` that is no array of structs with a type. Of typed parts, a null one gives
+nothing; one of null or unknown type is formatted as the text that it has, if any; fields of other types are read as their strings.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices
+from .common import Scratch, slices
 
 _SEGMENT = "conv_id long, turn long, role string, segment string, loss_spans array<struct<start:int,end:int>>, attachments array<struct<kind:string,ref:string,tokens:int,start:int>>, expanded_tokens long"
 _TURN = re.compile(r"<turn:([^<>]*)>(.*?)</turn>\n", re.S)
@@ -57,19 +59,23 @@ class PartVisitor:
         self.length += len(s)
         return start
 
-    def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part['type']}")(part)
+    def visit(self, part: dict | None) -> None:
+        if part is not None:
+            getattr(self, f"visit_{part.get('type')}", self.visit_text)(part)
 
     def visit_text(self, part: dict) -> None:
-        s = escape(part.get("text") or "")
+        text = part.get("text")
+        s = escape("" if text is None else str(text))
         start = self._put(s)
         if s:
             self.texts.append((start, self.length))
 
     def _attachment(self, part: dict) -> None:
-        kind, ref = part["type"], part.get("ref") or ""
-        tokens = part.get("tokens")
-        tokens = DEFAULT_TOKENS[kind] if tokens is None else int(tokens)
+        kind, ref = part["type"], str(part.get("ref") or "")
+        try:
+            tokens = int(part.get("tokens"))
+        except (TypeError, ValueError):
+            tokens = DEFAULT_TOKENS[kind]
         start = self._put(f"<{kind}:{escape(ref)}:{tokens}>")
         self.attachments.append({"kind": kind, "ref": ref, "tokens": tokens, "start": start})
         self.expanded += tokens
@@ -106,7 +112,8 @@ def parse(formatted: str) -> list[tuple[str, list[dict]]]:
 
 def format_turns(conversations: DataFrame) -> DataFrame:
     """One row per turn. Content is `parts` (array of structs type, text, ref, tokens) if there is such a column, else `text`."""
-    typed = "parts" in conversations.columns
+    kind = conversations.schema["parts"].dataType if "parts" in conversations.columns else None
+    typed = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and "type" in kind.elementType.names
     content = F.to_json("parts") if typed else F.col("text")
 
     def run(batches):
@@ -177,4 +184,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     text = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    return digests(format_turns(table.unionByName(own)))
+    return digests(Scratch(spark, "chat").write(format_turns(table.unionByName(own)), "formatted"))
