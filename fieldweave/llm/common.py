@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,12 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; only where that is unset (as in tests), one of our own."""
+    """The shared folder named in spark.checkpoint.dir. Where that is unset, one of our own: a temporary folder if all tasks run in this
+    process, as in tests, else one in the warehouse, which a cluster shares."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="fieldweave-")
+        alone = re.match(r"local(\[|$)", spark.sparkContext.master)
+        where = "file://" + tempfile.mkdtemp(prefix="fieldweave-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 

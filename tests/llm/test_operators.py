@@ -145,6 +145,11 @@ def test_chat_edges(spark):
     assert chat_format.digests(chat_format.format_turns(df.where("false"))).count() == 0
     typed = df.limit(1).withColumn("parts", F.expr("array(named_struct('type', 'image', 'text', null, 'ref', 'r', 'tokens', 3))"))
     assert chat_format.format_turns(typed).first().expanded_tokens == 3
+    plain = df.limit(1).withColumn("parts", F.lit("no parts"))
+    assert chat_format.format_turns(plain).first().expanded_tokens == 0
+    odd = "array(null, named_struct('type', 'video', 'text', 'a', 'ref', 'r', 'tokens', 3), named_struct('type', null, 'text', 'b<', 'ref', 'r', 'tokens', 3), named_struct('type', 'video', 'text', null, 'ref', 'r', 'tokens', 3))"
+    row = chat_format.format_turns(df.where("conv_id = 3").withColumn("parts", F.expr(odd))).first()
+    assert row.segment == "<turn:assistant>ab\\l</turn>\n" and row.attachments == [] and len(row.loss_spans) == 2
 
 
 # 3 ------------------------------------------------------------------------------------------------------------
@@ -328,12 +333,14 @@ def test_url_rules_by_counting(spark):
     df = spark.createDataFrame(rows, "url string, given string")
     host, path = url_filter.split_url(F.col("url"))
     df = df.select("given", host.alias("host"), path.alias("path")).withColumn("items", url_filter.tokens(F.col("host"), F.col("path"))).persist()
-    mined = url_filter.mine(df.where("given is not null"), 0.1, 0.9, least=1)
+    mined, uses = url_filter.mine(df.where("given is not null"), 0.1, 0.9, least=1)
     every = brute_mine([(r["items"], r.given) for r in df.collect()], 0.1, 0.9)
     assert {(m[0], m[1]) for m in mined} <= every
     for items, verdict in every:  # each counted rule follows from a mined one
         assert any(set(m[0]) <= set(items) and m[1] == verdict for m in mined)
-    index = url_filter.RuleIndex(mined)
+    index = url_filter.RuleIndex(mined, uses)
+    for t, rules in index.under.items():
+        assert all(uses[t] == min(uses[x] for x in r[0]) for r in rules)
     for r in df.collect():
         fits = [m for m in mined if set(m[0]) <= set(r["items"])]
         want = min(fits, key=lambda m: (-m[2], -m[3], m[1] != "block", m[0]))[1] if fits else None
@@ -398,10 +405,10 @@ def test_id_shard_edges(spark, odd, none, tmp_path):
 
 def test_elias_fano():
     g = np.random.default_rng(1)
-    for n, top in ((1, 1), (5, 3), (1000, 10), (3000, 10**9), (700, 10**12)):
+    for n, top in ((1, 1), (5, 3), (1000, 10), (3000, 10**9), (700, 10**12), (9001, 10**7)):
         v = np.sort(g.integers(0, top, n))
         e = binary_output.EliasFano.from_bytes(binary_output.EliasFano.encode(v).to_bytes())
-        assert np.array_equal(e.decode(), v)
+        assert np.array_equal(e.window(0, n), v) and np.array_equal(e.window(n // 3, n // 2), v[n // 3 : n // 2])
         assert [e.select(i) for i in range(0, n, max(1, n // 50))] == v[:: max(1, n // 50)].tolist()
         assert len(e.to_bytes()) <= 64 + n * (3 + max(0, math.log2(top / n))) / 8 + n / 64
 
@@ -699,6 +706,19 @@ def test_toxicity(spark):
     assert all(0 <= g.score <= 1 and g.predicted == (g.score >= 0.3) for g in got.values())
 
 
+def test_label_model_finds_accuracies():
+    """Independent voters of known accuracy, and one that votes at random."""
+    g = np.random.default_rng(3)
+    y = g.random(20_000) < 0.2
+    right = np.array([0.95, 0.9, 0.85, 0.8, 0.5])
+    votes = np.where(g.random((len(y), 5)) < right, np.where(y, 1, -1)[:, None], np.where(y, -1, 1)[:, None])
+    patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    m = toxicity.LabelModel(patterns, counts.astype(float), 0.2)
+    assert np.allclose(m.accuracy, right, atol=0.02) and m.correlation.shape == (5, 5)
+    post = m.posterior(patterns)[inverse.ravel()]
+    assert ((post > 0.5) == y).mean() > 0.95
+
+
 def test_toxicity_edges(spark, odd, none, no_labels):
     got = toxicity.toxicity(odd, no_labels).collect()
     assert len(got) == odd.count() and all(r.predicted == 0 for r in got)

@@ -58,3 +58,15 @@ def test_search_overflow_is_an_error(spark, size):
     df = spark.createDataFrame([(0, [size] * 4), (1, [-size] * 4)], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="62 bits" if size > 1e9 else "64 bits"):
         bsi_search.top_k(df, df, 1).collect()
+
+
+def test_search_of_wide_vectors(spark):
+    """More attributes than are added at once."""
+    g = np.random.default_rng(9)
+    x = g.normal(size=(90, 150)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    q = np.floor(256 * x).astype(np.int64)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in bsi_search.top_k(df, df.where("vec_id % 30 = 0"), 5).collect()}
+    for i in (0, 30, 60):
+        best = sorted((-int(q[i] @ q[j]), j) for j in range(90) if j != i)[:5]
+        assert [got[i, k + 1] for k in range(5)] == [(j, -s) for s, j in best]
