@@ -11,7 +11,7 @@ import re
 import numpy as np
 
 #: Bytes that a worker keeps of units, and of their pieces, at most; beyond them a cache starts afresh, which changes no result.
-CACHE_BYTES = 60_000_000
+CACHE_BYTES = 150_000_000
 #: What an entry takes besides its text and its ids.
 _ENTRY = 210
 
