@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ def block_share(total: int, parts: int, part: Column) -> tuple[Column, Column]:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions hamming(n, size), cmul_re/cmul_im and the table function dft(array)."""
+    """SQL functions hamming(n, size), cmul_re/cmul_im, the aggregate weighted_inner(a, b, w) and the table function dft(array)."""
     import numpy as np
     from pyspark.sql.functions import udtf
 
@@ -94,3 +95,14 @@ def register(spark: SparkSession) -> None:
                 yield k, float(c.real), float(c.imag)
 
     spark.udtf.register("dft", Dft)
+
+    @F.pandas_udf("double")
+    def weighted_inner(a: pd.Series, b: pd.Series, w: pd.Series) -> float:
+        return float((a * b * w).sum())
+
+    spark.udf.register("weighted_inner", weighted_inner)
+
+
+def inner_product(a, b, w) -> Column:
+    """The weighted inner product as a built-in aggregate, which adds up before rows are shuffled."""
+    return F.sum(F.col(a) * F.col(b) * F.col(w))

@@ -84,16 +84,20 @@ class Lstm:
             self.p[k] -= lr * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.s[k] / (1 - 0.999**self.steps)) + 1e-12)
         return float((e * e).mean())
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 64, lr: float = 1e-3) -> list[float]:
-        """Losses by epoch; the best parameters by training loss are kept."""
-        best, losses, g = None, [], np.random.default_rng(7)
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 64, lr: float = 1e-3, check=None) -> tuple[list[float], list[float]]:
+        """Losses by epoch, in training and on the windows to check (none: empty); the best parameters are kept, by the latter if there
+        are any."""
+        best, losses, checked, g = None, [], [], np.random.default_rng(7)
         for _ in range(epochs):
             order = g.permutation(len(x))
             losses.append(float(np.mean([self.step(x[o], y[o], lr) for o in np.array_split(order, max(1, len(x) // batch))])))
-            if best is None or losses[-1] <= min(losses):
+            if check is not None and len(check[0]):
+                checked.append(float(((self.forward(check[0])[0] - check[1]) ** 2).mean()))
+            by = checked or losses
+            if best is None or by[-1] <= min(by):
                 best = {k: v.copy() for k, v in self.p.items()}
         self.p = best or self.p
-        return losses
+        return losses, checked
 
 
 def determination(y: np.ndarray, out: np.ndarray) -> float:
@@ -109,27 +113,70 @@ def build_network(kind: str, n_in: int, n_out: int, **options):
     raise ValueError(f"unknown network {kind!r}")
 
 
-def forecast(train: DataFrame, test: DataFrame, n_in: int, n_out: int = 1, epochs: int = 5, hidden: int = 8, network: str = "lstm") -> DataFrame:
-    """(k, t, val, loss_first, loss_last): each coefficient's network is trained on its own series (k, t, val) and applied to
-    the windows of the test series, n_out steps at a time; the first n_in values are copied. Coefficients go in parallel."""
+def _windows(a: np.ndarray, n_in: int, n_out: int) -> tuple[np.ndarray, np.ndarray]:
+    total = max(0, len(a) - n_in - n_out)
+    return np.array([a[i : i + n_in] for i in range(total)]).reshape(total, n_in), np.array([a[i + n_in : i + n_in + n_out] for i in range(total)]).reshape(total, n_out)
+
+
+def train(series: DataFrame, n_in: int, n_out: int = 1, epochs: int = 5, hidden: int = 8, network: str = "lstm", validation: DataFrame | None = None) -> DataFrame:
+    """(k, network, n_in, n_out, hidden, weights, loss, val_loss): a network for each coefficient's series (k, t, val), its parameters as bytes
+    and its losses by epoch; those on the validation series are empty without one. With a validation series, the parameters with the
+    least loss on it are kept. Write the table to store the networks; coefficients go in parallel."""
 
     def run(key, left, right):
+        import io
+
         import pandas as pd
 
-        a, b = left.sort_values("t").val.to_numpy(float), right.sort_values("t")
-        total = len(a) - n_in - n_out
-        if total < 1 or not len(b):
-            return pd.DataFrame({"k": [], "t": [], "val": [], "loss_first": [], "loss_last": []})
-        x = np.array([a[i : i + n_in] for i in range(total)])
-        y = np.array([a[i + n_in : i + n_in + n_out] for i in range(total)])
+        x, y = _windows(left.sort_values("t").val.to_numpy(float), n_in, n_out)
+        if not len(x):
+            return pd.DataFrame({c: [] for c in ("k", "network", "n_in", "n_out", "hidden", "weights", "loss", "val_loss")})
         net = build_network(network, n_in, n_out, hidden=hidden, seed=int(key[0]) + 1)
-        losses = net.fit(x, y, epochs)
-        given, out = b.val.to_numpy(float), b.val.to_numpy(float).copy()
+        losses, checked = net.fit(x, y, epochs, check=_windows(right.sort_values("t").val.to_numpy(float), n_in, n_out))
+        data = io.BytesIO()
+        np.savez(data, **net.p)
+        return pd.DataFrame({"k": [int(key[0])], "network": [network], "n_in": [n_in], "n_out": [n_out], "hidden": [hidden], "weights": [data.getvalue()], "loss": [losses], "val_loss": [checked]})
+
+    left = series.select("k", "t", "val").toDF("k", "t", "val")  # parts of one table get names of their own
+    right = (series.limit(0) if validation is None else validation).select("k", "t", "val").toDF("k", "t", "val")
+    schema = "k long, network string, n_in int, n_out int, hidden int, weights binary, loss array<double>, val_loss array<double>"
+    return left.groupBy("k").cogroup(right.groupBy("k")).applyInPandas(run, schema)
+
+
+def inference(networks: DataFrame, series: DataFrame) -> DataFrame:
+    """(k, t, val): trained networks applied to the windows of a series, n_out steps at a time; the first n_in values are copied."""
+
+    def run(key, nets, rows):
+        import io
+
+        import pandas as pd
+
+        rows = rows.sort_values("t")
+        given = rows.val.to_numpy(float)
+        if not len(nets) or not len(rows):
+            return pd.DataFrame({"k": [], "t": [], "val": []})
+        one = nets.iloc[0]
+        n_in, n_out = int(one.n_in), int(one.n_out)
+        net = build_network(one.network, n_in, n_out, hidden=int(one.hidden))
+        with np.load(io.BytesIO(one.weights)) as kept:
+            net.p = {k: kept[k] for k in kept.files}
+        out = given.copy()
         for i in range(0, len(given) - n_in, n_out):
             step = net.forward(given[None, i : i + n_in])[0][0]
             end = min(n_out, len(out) - i - n_in)
             out[i + n_in : i + n_in + end] = step[:end]
-        return pd.DataFrame({"k": int(key[0]), "t": b.t.to_numpy(), "val": out, "loss_first": losses[0], "loss_last": min(losses)})
+        return pd.DataFrame({"k": int(key[0]), "t": rows.t.to_numpy(), "val": out})
+
+    return networks.groupBy("k").cogroup(series.select("k", "t", "val").toDF("k", "t", "val").groupBy("k")).applyInPandas(run, "k long, t long, val double")
+
+
+def histories(networks: DataFrame) -> DataFrame:
+    """(k, epoch, loss, val_loss) of trained networks; val_loss is null where nothing was held out."""
+    return networks.select("k", F.posexplode("loss").alias("epoch", "loss"), "val_loss").select("k", "epoch", "loss", F.get("val_loss", F.col("epoch")).alias("val_loss"))
+
 
-    train, test = (x.select("k", "t", "val").toDF("k", "t", "val") for x in (train, test))  # parts of one table get names of their own
-    return train.groupBy("k").cogroup(test.groupBy("k")).applyInPandas(run, "k long, t long, val double, loss_first double, loss_last double")
+def forecast(train_on: DataFrame, test: DataFrame, n_in: int, n_out: int = 1, epochs: int = 5, hidden: int = 8, network: str = "lstm") -> DataFrame:
+    """(k, t, val, loss_first, loss_last): each coefficient's network is trained on its own series and applied to the test series."""
+    nets = train(train_on, n_in, n_out, epochs, hidden, network).persist()
+    losses = nets.select("k", F.col("loss")[0].alias("loss_first"), F.array_min("loss").alias("loss_last"))
+    return inference(nets, test).join(losses, "k")

@@ -69,10 +69,30 @@ def peaks(spectrum: DataFrame, reach: int = 5) -> DataFrame:
     return best.where("val = top").select("f", "freq", "val")
 
 
-def report(spectrum: DataFrame) -> DataFrame:
-    """Peaks with their periods, frequencies being per hour."""
+def report(spectrum: DataFrame, most: int | None = None) -> DataFrame:
+    """Peaks with their periods, frequencies being per hour; with `most`, only that many of the highest."""
     value, unit = period_units(1 / F.col("freq"))
-    return peaks(spectrum).select("f", "freq", "val", value.alias("period"), unit.alias("unit"))
+    found = peaks(spectrum).select("f", "freq", "val", value.alias("period"), unit.alias("unit"))
+    return found if most is None else found.orderBy(F.desc("val"), "f").limit(most)
+
+
+def coefficient_series(coeffs: DataFrame, modes=None, t_lo: int | None = None, t_hi: int | None = None) -> DataFrame:
+    """Coefficients of chosen modes over [t_lo, t_hi), ready to be drawn: (m, t, then their value columns)."""
+    if modes is not None:
+        coeffs = coeffs.where(F.col("m").isin([int(m) for m in modes]))
+    if t_lo is not None:
+        coeffs = coeffs.where(F.col("t") >= t_lo)
+    return coeffs if t_hi is None else coeffs.where(F.col("t") < t_hi)
+
+
+def panels(**fields: DataFrame) -> DataFrame:
+    """Fields (x, v, val) side by side: (panel, x, v, val, limit), all with the largest magnitude as their common colour limit."""
+    rows = None
+    for name, df in fields.items():
+        one = df.select(F.lit(name).alias("panel"), "x", "v", "val")
+        rows = one if rows is None else rows.unionByName(one)
+    limit = rows.agg(F.max(F.abs("val")).alias("limit"))  # one row
+    return rows.join(F.broadcast(limit))
 
 
 def eigenvalues_by_period(eigs: DataFrame) -> DataFrame:

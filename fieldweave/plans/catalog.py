@@ -6,6 +6,7 @@ only in phase-free quantities.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -221,14 +222,21 @@ _register("block_offsets", "SELECT b::INTEGER AS b, b * 32 AS \"offset\" FROM ra
 _register("blocks", f"{_events()}{_tapered(STD)} SELECT b, n, x, v, {_r('val')} AS val FROM raw")(lambda s, d: _out(blocks.segment(samples.events(s, d), STD, HOURS)))
 _register("blocks_tapered", f"{_events()}{_tapered(STD)} SELECT b, n, x, v, {_r('val')} AS val FROM tap")(lambda s, d: _out(blocks.preprocess(samples.events(s, d), STD, HOURS)))
 _TRACE = ", tr AS (SELECT f, sum(re) AS val FROM gram WHERE b1 = b2 GROUP BY f)"
-_PEAKS = f"""{_events()}{_tapered(STD)}{_qhat(STD)}{_gram(STD)}{_TRACE},
-s AS (SELECT f, f / 64.0 AS freq, val, avg(val) OVER (ORDER BY f ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS mean, lag(val) OVER (ORDER BY f) AS up, lead(val) OVER (ORDER BY f) AS down FROM tr)
-SELECT f, freq, {_r('val', 4)} AS val FROM s WHERE f > 0 AND val > 1.5 * mean AND (up IS NULL OR val > up) AND (down IS NULL OR val > down)
-  AND val = (SELECT max(o.val) FROM s o WHERE o.freq BETWEEN s.freq * 0.9 AND s.freq * 1.1)"""
+#: The hourly event field with a tide of eight hours, so that its spectrum has a peak at every scale.
+_TIDE = _events().replace("field AS (SELECT", "calm AS (SELECT") + ", field AS (SELECT t, x, v, val * (1 + cos(2 * pi() * (t % 8) / 8.0)) AS val FROM calm)"
+_PEAK_ROWS = f"""{_TIDE}{_tapered(STD)}{_qhat(STD)}{_gram(STD)}{_TRACE},
+s AS (SELECT f, f / 64.0 AS freq, val, avg(val) OVER (ORDER BY f ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS mean, lag(val) OVER (ORDER BY f) AS up, lead(val) OVER (ORDER BY f) AS down FROM tr),
+p AS (SELECT f, freq, val FROM s WHERE f > 0 AND val > 1.5 * mean AND (up IS NULL OR val > up) AND (down IS NULL OR val > down)
+  AND val = (SELECT max(o.val) FROM s o WHERE o.freq BETWEEN s.freq * 0.9 AND s.freq * 1.1))"""
+_PEAKS = f"{_PEAK_ROWS} SELECT f, freq, {_r('val', 4)} AS val FROM p"
+_REPORT = f"""{_PEAK_ROWS}, h AS (SELECT *, 1 / freq AS hours FROM p)
+SELECT f, freq, {_r('val', 4)} AS val, {_r('CASE WHEN hours >= 8766 THEN hours / 8766 WHEN hours >= 730.5 THEN hours / 730.5 WHEN hours >= 24 THEN hours / 24 WHEN hours >= 1 THEN hours ELSE hours * 60 END')} AS period,
+  CASE WHEN hours >= 8766 THEN 'years' WHEN hours >= 730.5 THEN 'months' WHEN hours >= 24 THEN 'days' WHEN hours >= 1 THEN 'hours' ELSE 'minutes' END AS unit FROM h"""
 
 
 def _trace_series(s, d):
-    _, q = _std(s, d)
+    tide = samples.events(s, d).withColumn("val", F.col("val") * (1 + F.cos(F.lit(2 * math.pi) * (F.col("t") % 8) / 8.0)))
+    q = blocks.spectra(tide, STD, HOURS)
     return modal.traces(modal.gram(q, weights.uniform(s, 5), 21)).select("f", (F.col("f") / 64.0).alias("freq"), F.col("trace").alias("val"))
 
 
@@ -454,9 +462,9 @@ def _slice(s, d):
     return _out(lookup.mode_slice(modal.fix_phase(_two(s, d)[4].where(f"f = {BIN} AND m = 0")), BIN, 0), 5)
 
 
-@_register("spectrum_report")
+@_register("spectrum_report", _REPORT)
 def _report(s, d):
-    return lookup.report(_trace_series(s, d))
+    return _out(lookup.report(_trace_series(s, d)).withColumn("val", tidy(F.col("val"), 4)))
 
 
 @_register("npy_source")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,8 +65,11 @@ class SpectralPOD(_Base):
         return self
 
     def run_key(self) -> str:
+        """Names a folder of results: sizes to read, and a hash of all parameters and the field's shape. Fields of one shape need caches of
+        their own, as the key doesn't see their values."""
         p = self.params
-        return f"nfft{p.n_dft}_novlp{p.n_overlap}_nblks{p.n_blocks(self.nt)}"
+        kept = hashlib.sha256(json.dumps([p.to_dict(), *self.shape], sort_keys=True, default=str).encode()).hexdigest()[:12]
+        return f"nfft{p.n_dft}_novlp{p.n_overlap}_nblks{p.n_blocks(self.nt)}_{kept}"
 
     @property
     def n_modes(self) -> int:
@@ -103,7 +107,9 @@ class SpectralPOD(_Base):
         """Tables below path/run_key: eigs, modes (by frequency), weights, mean; and the parameters."""
         root = f"{path}/{self.run_key()}"
         self.eigs.write.mode("overwrite").parquet(f"{root}/eigs")
-        self.modes.repartition("f").write.mode("overwrite").partitionBy("f").parquet(f"{root}/modes")
+        # A frequency's modes go to as many tasks as they fill.
+        parts = max(1, self.nx * self.nv * self.n_modes // 5_000_000)
+        self.modes.repartition(F.col("f"), F.pmod(F.xxhash64("x", "v"), F.lit(parts))).write.mode("overwrite").partitionBy("f").parquet(f"{root}/modes")
         self.weights.write.mode("overwrite").parquet(f"{root}/weights")
         self.mean.write.mode("overwrite").parquet(f"{root}/mean")
         meta = self.params.to_dict() | {"nt": self.nt, "nx": self.nx, "nv": self.nv, "n_blocks": self.n_blocks}
@@ -153,3 +159,23 @@ class SnapshotPOD(_Base):
 
     def reconstruct(self, time_idx=None) -> DataFrame:
         return pod.reconstruct(fields.time_subset(self.coeffs, time_idx, self.nt), self.modes, self.mean)
+
+    def save(self, path: str) -> None:
+        """Tables below path: eigs, modes, weights, mean, the coefficients if there are any; and the sizes."""
+        for name in ("eigs", "modes", "weights", "mean", "coeffs"):
+            if hasattr(self, name):
+                getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        meta = {"n_modes": self.n_modes, "nt": self.nt, "nx": self.nx, "nv": self.nv}
+        self.eigs.sparkSession.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SnapshotPOD:
+        if not _exists(spark, f"{path}/params"):
+            raise FileNotFoundError(f"{path} holds no fitted model")
+        meta = json.loads(spark.read.text(f"{path}/params").first()[0])
+        self = cls(meta["n_modes"])
+        self.nt, self.nx, self.nv = (meta[k] for k in ("nt", "nx", "nv"))
+        for name in ("eigs", "modes", "weights", "mean", "coeffs"):
+            if _exists(spark, f"{path}/{name}"):
+                setattr(self, name, spark.read.parquet(f"{path}/{name}"))
+        return self

@@ -35,6 +35,12 @@ def test_query(spark, sf_dir, duck, name):
         assert a == pytest.approx(b, rel=1e-6, abs=2e-5) if all(isinstance(x, (int, float)) for x in a) else a[1:] == b[1:] or a == pytest.approx(b, rel=1e-6)
 
 
+@pytest.mark.parametrize("name", ["peaks", "spectrum_report"])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_peaks_are_found(spark, name, sf):
+    assert 8 in [r.f for r in catalog.queries()[name](spark, f"/root/testdata/{sf}").collect()]  # the tide
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["f", "freq", "power"] and df.count() == 13
