@@ -10,7 +10,8 @@ A combination is frequent with SUPPORT of the labelled urls, and LEAST_URLS of t
 support threshold, not by the number of urls.
 
 Cases: null urls or urls without `://` have an empty host and path, fit no rule and have no tokens: they are allowed;
-repeated rows are labelled and judged as often as they come; without labelled urls no rule is mined; an empty table
+repeated rows are labelled and judged as often as they come; below LEAST_URLS labelled urls no rule is mined, and urls without an
+explicit rule are allowed; an empty table
 gives no rows; extra columns are ignored.
 """
 
@@ -35,7 +36,7 @@ RULES = (
 )
 SUPPORT, CONFIDENCE = 0.002, 0.9
 #: Labelled urls that a rule needs at least, whatever the share.
-LEAST_URLS = 3
+LEAST_URLS = 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
