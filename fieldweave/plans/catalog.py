@@ -82,10 +82,9 @@ field AS (SELECT a.t::BIGINT AS t, b.x::BIGINT AS x, c.v::INTEGER AS v, coalesce
   FROM range({samples.DAYS}) a(t) CROSS JOIN range(6) b(x) CROSS JOIN range(4) c(v) LEFT JOIN sums s ON s.t = a.t AND s.x = b.x)"""
 
 
-def _embedded(below: int | None = None) -> str:
-    where = "" if below is None else f" WHERE vec_id < {below}"
-    return f"""WITH field AS (SELECT vec_id AS t, (i - 1)::BIGINT AS x, 0::INTEGER AS v, embedding[i]::DOUBLE AS val
-  FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings{where}))"""
+def _embedded() -> str:
+    return """WITH field AS (SELECT vec_id AS t, (i - 1)::BIGINT AS x, 0::INTEGER AS v, embedding[i]::DOUBLE AS val
+  FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"""
 
 
 _MU = ", mu AS (SELECT x, v, avg(val) AS mu FROM field GROUP BY x, v)"
@@ -348,34 +347,24 @@ def _conv(s, d):
 
 # --- POD -------------------------------------------------------------------------------------------------------
 
-_PG = f"{_embedded(8)}{_MU}, d AS (SELECT t, x, val - mu AS d FROM field JOIN mu USING (x, v))"
-_register("pod_gram", f"{_PG} SELECT a.t AS t1, b.t AS t2, {_r('sum(a.d * b.d)')} AS g FROM d a JOIN d b ON a.x = b.x AND a.t <= b.t GROUP BY 1, 2")(lambda s, d: _out(pod.gram(samples.embeddings(s, d, 8), weights.uniform(s, 64))))
-_register("pod_trace", f"{_PG} SELECT {_r('sum(d * d)')} AS trace FROM d")(lambda s, d: _out(pod.decompose(samples.embeddings(s, d, 8), weights.uniform(s, 64), 8, 8, 64)[0].agg(F.sum("lam").alias("trace"))))
 _register("pod_dual_trace", f"{_embedded()}{_MU} SELECT {_r('sum((val - mu) * (val - mu))', 4)} AS trace FROM field JOIN mu USING (x, v)")(lambda s, d: _out(pod.decompose(samples.embeddings(s, d), weights.uniform(s, 64), 64, 10**6, 64)[0].agg(F.sum("lam").alias("trace")), 4))
-_P2 = f"{_embedded(2)}{_MU}, g AS (SELECT sum((val - mu) * (val - mu)) AS lam FROM field JOIN mu USING (x, v))"
 
 
-def _pod2(s, d):
-    f, w = samples.embeddings(s, d, 2), weights.uniform(s, 64)
-    return f, *pod.decompose(f, w, 1, 2, 64)
-
-
-_register("pod_eigs_two_snapshot", f"{_P2} SELECT 0 AS m, {_r('lam')} AS lam FROM g")(lambda s, d: _out(_pod2(s, d)[1]))
-_register("pod_coeffs", f"{_P2} SELECT 0 AS m, t::BIGINT AS t, {_r('sqrt(lam / 2)')} AS a FROM g CROSS JOIN range(2) r(t)")(lambda s, d: (lambda z: _out(pod.coefficients(z[0], z[2]).withColumn("a", F.abs("a"))))(_pod2(s, d)))
-_register("pod_reconstruct", f"{_embedded(2)} {_FIELD}")(lambda s, d: (lambda z: _out(pod.reconstruct(pod.coefficients(z[0], z[2]), z[2], reductions.longtime_mean(z[0]))))(_pod2(s, d)))
-
-
-def _pod_all(s, d):
+def _pod(s, d):
     """The field of all vectors, with all its eigenvalues and modes."""
     f = samples.embeddings(s, d)
     return f, *pod.decompose(f, weights.uniform(s, 64), 64, f.select("t").distinct().count(), 64)
 
 
-_PGA = f"{_embedded()}{_MU}, d AS (SELECT t, x, val - mu AS d FROM field JOIN mu USING (x, v))"
-_register("pod_gram_all", f"{_PGA} SELECT a.t AS t1, b.t AS t2, {_r('sum(a.d * b.d)')} AS g FROM d a JOIN d b ON a.x = b.x AND a.t <= b.t GROUP BY 1, 2")(lambda s, d: _out(pod.gram_chunks(samples.embeddings(s, d), weights.uniform(s, 64))))
-_register("pod_eigs_all")(lambda s, d: _out(_pod_all(s, d)[1]))
-_register("pod_coeffs_all")(lambda s, d: (lambda z: _out(pod.coefficients(z[0], F.broadcast(z[2])).withColumn("a", F.abs("a"))))(_pod_all(s, d)))
-_register("pod_reconstruct_all", f"{_embedded()} {_FIELD}")(lambda s, d: (lambda z: _out(pod.reconstruct(pod.coefficients(z[0], F.broadcast(z[2])), F.broadcast(z[2]), reductions.longtime_mean(z[0]))))(_pod_all(s, d)))
+_PG = f"{_embedded()}{_MU}, d AS (SELECT t, x, val - mu AS d FROM field JOIN mu USING (x, v))"
+_register("pod_gram", f"{_PG} SELECT a.t AS t1, b.t AS t2, {_r('sum(a.d * b.d)')} AS g FROM d a JOIN d b ON a.x = b.x AND a.t <= b.t GROUP BY 1, 2")(lambda s, d: _out(pod.gram_chunks(samples.embeddings(s, d), weights.uniform(s, 64))))
+_register("pod_eigs")(lambda s, d: _out(_pod(s, d)[1]))
+#: All eigenvalues together, and their squares: the squared Frobenius norm of either Gram matrix.
+_register("pod_eigs_norms", f"{_PG}, g AS (SELECT sum(a.d * b.d) AS g FROM d a JOIN d b ON a.t = b.t GROUP BY a.x, b.x) SELECT (SELECT {_r('sum(d * d)', 4)} FROM d) AS trace, (SELECT {_r('sum(g * g)', 2)} FROM g) AS fro2")(lambda s, d: _pod(s, d)[1].agg(tidy(F.sum("lam"), 4).alias("trace"), tidy(F.sum(F.col("lam") * F.col("lam")), 2).alias("fro2")))
+_register("pod_coeffs")(lambda s, d: (lambda z: _out(pod.coefficients(z[0], F.broadcast(z[2])).withColumn("a", F.abs("a"))))(_pod(s, d)))
+#: With all modes, a snapshot's squared coefficients sum to its squared distance from the mean.
+_register("pod_coeff_energy", f"{_PG} SELECT t, {_r('sum(d * d)')} AS energy FROM d GROUP BY t")(lambda s, d: (lambda z: _out(pod.coefficients(z[0], F.broadcast(z[2])).groupBy("t").agg(F.sum(F.col("a") * F.col("a")).alias("energy"))))(_pod(s, d)))
+_register("pod_reconstruct", f"{_embedded()} {_FIELD}")(lambda s, d: (lambda z: _out(pod.reconstruct(pod.coefficients(z[0], F.broadcast(z[2])), F.broadcast(z[2]), reductions.longtime_mean(z[0]))))(_pod(s, d)))
 
 # --- lookups ---------------------------------------------------------------------------------------------------
 

@@ -37,9 +37,7 @@ def lineitem_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return densify(sums.select("t", "x", F.posexplode("a").alias("v", "val")), DAYS, len(FLAGS), 4)
 
 
-def embeddings(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataFrame:
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """t: vec_id; x: place in the vector."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    if below is not None:
-        rows = rows.where(F.col("vec_id") < below)
     return rows.select(F.col("vec_id").alias("t"), F.posexplode("embedding").alias("x", "val")).select("t", F.col("x").cast("long").alias("x"), F.lit(0).alias("v"), F.col("val").cast("double").alias("val"))

@@ -20,12 +20,15 @@ def test_pod_of_all_vectors(spark, tmp_path, n):
     ids, x, c = written(spark, tmp_path, n)
     u, sv, _ = np.linalg.svd(c, full_matrices=False)
     k = min(n - 1, 64)
-    run = {q: catalog.queries()[q](spark, str(tmp_path)).collect() for q in ("pod_gram_all", "pod_eigs_all", "pod_coeffs_all", "pod_reconstruct_all")}
+    run = {q: catalog.queries()[q](spark, str(tmp_path)).collect() for q in ("pod_gram", "pod_eigs", "pod_coeffs", "pod_reconstruct", "pod_eigs_norms", "pod_coeff_energy")}
     at = {int(t): i for i, t in enumerate(ids)}
-    assert len(run["pod_gram_all"]) == n * (n + 1) // 2
-    assert all(r.t1 <= r.t2 and abs(r.g - c[at[r.t1]] @ c[at[r.t2]]) < 2e-6 for r in run["pod_gram_all"])
-    assert [r.lam for r in sorted(run["pod_eigs_all"])] == pytest.approx(list(sv[:k] ** 2), abs=2e-6)
-    assert len(run["pod_coeffs_all"]) == k * n
-    assert all(abs(r.a - abs(u[at[r.t], r.m] * sv[r.m])) < 1e-5 for r in run["pod_coeffs_all"])
-    assert len(run["pod_reconstruct_all"]) == n * 64
-    assert all(abs(r.val - x[at[r.t], r.x]) < 2e-6 for r in run["pod_reconstruct_all"])
+    assert len(run["pod_gram"]) == n * (n + 1) // 2
+    assert all(r.t1 <= r.t2 and abs(r.g - c[at[r.t1]] @ c[at[r.t2]]) < 2e-6 for r in run["pod_gram"])
+    assert [r.lam for r in sorted(run["pod_eigs"])] == pytest.approx(list(sv[:k] ** 2), abs=2e-6)
+    assert len(run["pod_coeffs"]) == k * n
+    assert all(abs(r.a - abs(u[at[r.t], r.m] * sv[r.m])) < 1e-5 for r in run["pod_coeffs"])
+    assert len(run["pod_reconstruct"]) == n * 64
+    assert all(abs(r.val - x[at[r.t], r.x]) < 2e-6 for r in run["pod_reconstruct"])
+    norms = run["pod_eigs_norms"][0]
+    assert (norms.trace, norms.fro2) == pytest.approx(((c * c).sum(), ((c.T @ c) ** 2).sum()), rel=1e-6)
+    assert {at[r.t]: r.energy for r in run["pod_coeff_energy"]} == pytest.approx(dict(enumerate((c * c).sum(1))), abs=2e-6)
