@@ -32,3 +32,16 @@ def test_pod_of_all_vectors(spark, tmp_path, n):
     norms = run["pod_eigs_norms"][0]
     assert (norms.trace, norms.fro2) == pytest.approx(((c * c).sum(), ((c.T @ c) ** 2).sum()), rel=1e-6)
     assert {at[r.t]: r.energy for r in run["pod_coeff_energy"]} == pytest.approx(dict(enumerate((c * c).sum(1))), abs=2e-6)
+
+
+def test_gram_does_not_shuffle_the_field_by_cell(spark, tmp_path):
+    """The field is shuffled by snapshot alone; the mean and the weights come to it."""
+    written(spark, tmp_path, 20)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = catalog.queries()["pod_gram"](spark, str(tmp_path))
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == 210
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
