@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from fieldweave.plans import catalog
+from fieldweave.operators import pod, weights
+from fieldweave.plans import catalog, samples
 
 
 def written(spark, path, n):
@@ -45,3 +46,32 @@ def test_gram_does_not_shuffle_the_field_by_cell(spark, tmp_path):
         assert df.count() == 210
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_gram_in_a_file_is_small(spark, tmp_path):
+    """Every pair is there, by chunks of any side, and a file of the rounded matrix takes much less than the 8 bytes of a value."""
+    n = 1500
+    x = (0.1 * np.random.default_rng(1).normal(size=(n, 64))).astype(np.float32)
+    rows = [(i, [float(z) for z in v], 0) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    catalog.queries()["pod_gram"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/gram")
+    assert sum(p.stat().st_size for p in (tmp_path / "gram").glob("*.parquet")) < 6 * n * (n + 1) // 2
+    c = x.astype(float) - x.astype(float).mean(0)
+    for df in (spark.read.parquet(f"{tmp_path}/gram"), pod.gram_chunks(samples.embeddings(spark, str(tmp_path)), weights.uniform(spark, 64), 400)):
+        got, g = df.toPandas(), np.full((n, n), np.nan)
+        assert len(got) == n * (n + 1) // 2
+        g[got.t1, got.t2] = got.g
+        assert np.isnan(g[np.tril_indices(n, -1)]).all()
+        assert np.abs(g - c @ c.T)[np.triu_indices(n)].max() < 2e-6
+
+
+def test_order_of_rounded_values():
+    """Rounded half away from zero, ascending, each at its own place, also where values are too large to be packed with it."""
+    x = np.array([0.5, -0.5, 1.25, -1.25, -0.01, 0.0, 3.0, -7.75] * 40000)
+    near = np.array([0.5, -0.5, 1.3, -1.3, 0.0, 0.0, 3.0, -7.8] * 40000)
+    for big in ([], [1e300], [np.inf, -1e300]):
+        parts = list(pod._ordered(np.append(x, big), 1))
+        at, values = (np.concatenate(p) for p in zip(*parts))
+        assert (np.diff(values[np.isfinite(values)]) >= 0).all() and not np.signbit(values[values == 0]).any()
+        assert sorted(at) == list(range(len(x) + len(big)))
+        assert (values[np.argsort(at)] == np.append(near, big)).all()
